@@ -3,7 +3,7 @@
 The driver tables hold labels but no model output, so predictions are derived
 row by row with a keyed hash that any SQL engine can repeat: a run of quality
 ``p`` answers right in ``p`` per cent of the rows, picks another class
-otherwise, and abstains (null) in one row out of 200.
+otherwise, and abstains (null) in one row out of 256.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions import hash60_segment
+from tallyframe.functions import hash60
 
 SEEDS = (42, 123, 456, 789, 2024)
 QUALITY = {"multi": 85, "single": 82}
@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of few files; an input with enough splits is left alone.
+
+    Every row is about to unfold into one row per task and run, so the narrow
+    input is the cheap place to do it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _task(name: str, classes: int, truth: Column) -> Column:
     return F.struct(
         F.lit(name).alias("task"), F.lit(classes).alias("k"), truth.cast("int").alias("y_true")
@@ -38,7 +48,8 @@ def _position(values: tuple[str, ...], column: str) -> Column:
 
 
 def _truth(df: DataFrame, key: str, *tasks: Column) -> DataFrame:
-    return df.select(F.col(key).alias("row_idx"), F.explode(F.array(*tasks)).alias("t")).select(
+    rows = df.select(F.col(key).alias("row_idx"), F.array(*tasks).alias("tasks"))
+    return spread(rows, "row_idx").select("row_idx", F.explode("tasks").alias("t")).select(
         "row_idx", "t.*"
     )
 
@@ -80,26 +91,25 @@ def with_predictions(truth: DataFrame, prefixes: tuple[str, ...] = ("multi", "si
             if prefix in prefixes
         )
     )
-    digest = F.md5(F.concat_ws("|", "run", "task", F.col("row_idx").cast("string")))
     mixed = (
         truth.select("*", F.explode(runs).alias("r"))
         .select("row_idx", "task", "k", "y_true", "r.*")
-        .withColumn("digest", digest)
+        .withColumn("h", hash60("", F.col("run"), F.col("task"), F.col("row_idx").cast("string")))
     )
 
-    def part(start: int, digits: int) -> Column:
-        return hash60_segment(F.col("digest"), start, digits)
+    def bits(shift: int, width: int) -> Column:
+        return F.shiftright("h", shift).bitwiseAND((1 << width) - 1)
 
-    other = (F.col("y_true") + 1 + part(9, 8) % (F.col("k") - 1)) % F.col("k")
+    other = (F.col("y_true") + 1 + bits(24, 16) % (F.col("k") - 1)) % F.col("k")
     answer = (
-        F.when(part(25, 4) % 200 == 0, F.lit(None).cast("int"))
-        .when(part(1, 8) % 100 < F.col("quality"), F.col("y_true"))
+        F.when(bits(0, 8) == 0, F.lit(None).cast("int"))
+        .when(bits(40, 20) % 100 < F.col("quality"), F.col("y_true"))
         .otherwise(other.cast("int"))
     )
     return mixed.select(
         "run", "prefix", "seed", F.lit("test").alias("split"), "row_idx", "task", "y_true",
         answer.alias("y_pred"),
-        (part(17, 8) % 10000 / F.lit(10000.0)).alias("confidence"),
+        (bits(8, 16) % 10000 / F.lit(10000.0)).alias("confidence"),
     )
 
 

@@ -40,15 +40,15 @@ _PREDICTIONS = f"""
 all_runs AS (SELECT * FROM (VALUES {_RUNS}) AS v(run, prefix, seed, quality)),
 mixed AS (
   SELECT r.run, r.prefix, r.seed, r.quality, t.*,
-         md5(r.run || '|' || t.task || '|' || CAST(t.row_idx AS VARCHAR)) AS m
+         CAST('0x' || substr(md5('|' || r.run || '|' || t.task || '|' || CAST(t.row_idx AS VARCHAR)),
+                             1, 15) AS BIGINT) AS h
   FROM truth t CROSS JOIN all_runs r),
 predictions AS (
   SELECT run, prefix, seed, 'test' AS split, row_idx, task, y_true,
-    CASE WHEN CAST('0x' || substr(m, 25, 4) AS BIGINT) % 200 = 0 THEN NULL
-         WHEN CAST('0x' || substr(m, 1, 8) AS BIGINT) % 100 < quality THEN y_true
-         ELSE CAST((y_true + 1 + CAST('0x' || substr(m, 9, 8) AS BIGINT) % (k - 1)) % k AS INTEGER)
-    END AS y_pred,
-    CAST('0x' || substr(m, 17, 8) AS BIGINT) % 10000 / CAST(10000 AS DOUBLE) AS confidence
+    CASE WHEN h % 256 = 0 THEN NULL
+         WHEN (h >> 40) % 100 < quality THEN y_true
+         ELSE CAST((y_true + 1 + (h >> 24) % 65536 % (k - 1)) % k AS INTEGER) END AS y_pred,
+    (h >> 8) % 65536 % 10000 / CAST(10000 AS DOUBLE) AS confidence
   FROM mixed)"""
 
 _CELLS = """
@@ -228,8 +228,8 @@ scores AS (SELECT task, b, run, prefix, avg(f1) AS macro_f1 FROM f1s GROUP BY AL
 
 
 _DELTAS = """
-deltas AS (SELECT task, b, avg(macro_f1) FILTER (WHERE prefix = 'multi')
-                         - avg(macro_f1) FILTER (WHERE prefix = 'single') AS delta
+deltas AS (SELECT task, b, round(avg(macro_f1) FILTER (WHERE prefix = 'multi')
+                         - avg(macro_f1) FILTER (WHERE prefix = 'single'), 12) + 0.0 AS delta
            FROM scores GROUP BY task, b)"""
 
 _MEAN_DELTAS = """

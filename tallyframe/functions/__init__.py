@@ -1,4 +1,4 @@
-from tallyframe.functions.hashing import hash60, hash60_segment
+from tallyframe.functions.hashing import hash60
 from tallyframe.functions.text import (
     interval_text,
     map_flag,
@@ -24,7 +24,6 @@ __all__ = [
     "cross_entropy",
     "focal_term",
     "hash60",
-    "hash60_segment",
     "interval_text",
     "log_softmax",
     "map_flag",

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 def hash60(*parts: Column | str | int) -> Column:
     """60-bit non-negative hash of the parts joined by ``|`` (top 15 hex digits of md5)."""
     columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return hash60_segment(F.md5(F.concat_ws("|", *columns)), 1, 15)
-
-
-def hash60_segment(digest: Column, start: int, digits: int) -> Column:
-    """Some hex digits of an md5 text as a BIGINT; one digest can serve several draws."""
-    return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+    digest = F.md5(F.concat_ws("|", *columns))
+    # Never null, and saying so keeps the optimizer from repeating the hash in a null filter.
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.storage import lookup_join
+from tallyframe.storage import lookup_join, settle
 
 DEFAULT_BY = ("run", "task")
 
@@ -48,6 +48,7 @@ def confusion_matrix(
     )
     others = [c for c in by if c != "task"]
     if others:
+        cells = settle(cells, "cells")
         grid = cells.select(*by).distinct().join(grid, "task")
     keys = [*by, "y_true", "y_pred"]
     counts = cells.where(F.col("y_pred").isNotNull()).select(*keys, "n")

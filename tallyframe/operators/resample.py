@@ -35,11 +35,12 @@ ALL_TASKS = "*"
 MEAN_TASK = "Mean macro-F1"
 
 _PROFILES_PER_BLOCK = 20_000
-_REPLICATES_PER_CHUNK = 50
-_POSITION_BUCKETS = 1024
+_REPLICATES_PER_CHUNK = 25
 _DRAWS_PER_CHUNK = 4096
+_DRAWS_PER_TASK = 2_000_000
+_BROADCAST_PROFILES = 500_000
 
-_DRAWN = "scope string, slot int, b int, member int, y_true int, y_pred int, n bigint"
+_DRAWN = "slot int, b int, member int, y_true int, y_pred int, n bigint"
 
 
 def align_runs(
@@ -117,36 +118,58 @@ def profile_counts(
     return profiles
 
 
-def _hash_counts(profiles: DataFrame, replicates: int, seed: int, joint: bool) -> DataFrame:
-    """Keyed draws: ``(scope, b, code, n)``.
+def _scope_number(tasks: Sequence[str], joint: bool) -> Column:
+    """Small integer standing for the scope: fixed-width keys are cheaper to group by."""
+    if joint:
+        return F.lit(0)
+    return (F.array_position(F.array(*map(F.lit, tasks)), F.col("scope")) - 1).cast("int")
+
+
+def _hash_cells(
+    profiles: DataFrame,
+    tasks: Sequence[str],
+    runs: Sequence[str],
+    replicates: int,
+    seed: int,
+    joint: bool,
+) -> DataFrame:
+    """Keyed draws, as confusion counts.
 
     Profiles in code order own consecutive positions; a draw is a position.  A
-    position finds its profile through a bucketed equi-join, so the lookup costs
-    the same for any number of profiles.
+    position finds its profile through a bucketed equi-join with about as many
+    buckets as profiles, so the lookup costs the same for any number of them.
     """
-    run = Window.partitionBy("scope").orderBy("code")
+    order = Window.partitionBy("scope").orderBy("code")
     whole = Window.partitionBy("scope")
-    spans = profiles.select(
+    held = F.count("*").over(whole)
+    placed = profiles.select(
         "scope",
+        _scope_number(tasks, joint).alias("slot"),
         "code",
-        (F.sum("n").over(run) - F.col("n")).alias("lo"),
-        F.sum("n").over(run).alias("hi"),
+        F.row_number().over(order).alias("profile"),
+        (F.sum("n").over(order) - F.col("n")).alias("lo"),
+        F.sum("n").over(order).alias("hi"),
         F.sum("n").over(whole).alias("total"),
-    ).withColumn("width", F.ceil(F.col("total") / _POSITION_BUCKETS))
-    spans = settle(
-        spans.select(
-            "scope",
-            "code",
-            "lo",
-            "hi",
-            F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("bucket"),
-        ),
-        "spans",
+        F.ceil(F.sum("n").over(whole) / (held * 4)).alias("width"),
+    )
+    placed = settle(placed, "positions")
+    spans = placed.select(
+        "profile",
+        "lo",
+        "hi",
+        F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("bucket"),
+        "slot",
+    ).select("profile", "lo", "hi", _one_key("slot", "bucket").alias("key"))
+    sizes = placed.groupBy("scope", "slot").agg(
+        F.max("total").alias("total"), F.max("width").alias("width"), F.count("*").alias("held")
     )
-    sizes = profiles.groupBy("scope").agg(F.sum("n").alias("total"))
+    facts = sizes.agg(F.sum("total"), F.sum("held")).first()
+    total, profiles_held = int(facts[0] or 0), int(facts[1] or 0)
     chunks = sizes.select(
         "scope",
+        "slot",
         "total",
+        "width",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"),
     ).select(
         "*",
@@ -154,54 +177,64 @@ def _hash_counts(profiles: DataFrame, replicates: int, seed: int, joint: bool) -
     )
     first = F.col("chunk") * _DRAWS_PER_CHUNK
     last = F.least(first + _DRAWS_PER_CHUNK, F.col("total")) - 1
-    draws = chunks.repartition("scope", "b", "chunk").select(
-        "scope", "total", "b", F.explode(F.sequence(first, last)).alias("k")
+    # A count of its own, so that adaptive execution does not merge the few small
+    # chunk rows into one task: each of them unfolds into thousands of draws.
+    parts = max(
+        profiles.sparkSession.sparkContext.defaultParallelism,
+        total * replicates // _DRAWS_PER_TASK,
     )
     scope: list[Column] = [] if joint else [F.col("scope")]
     text = [F.col(c).cast("string") for c in ("b", "k")]
-    draws = draws.select(
-        "scope",
-        "b",
-        (hash60(str(seed), *scope, *text) % F.col("total")).alias("at"),
-        F.ceil(F.col("total") / _POSITION_BUCKETS).alias("width"),
-    ).withColumn("bucket", F.expr("at div width"))
-    return (
-        draws.join(spans, ["scope", "bucket"])
+    draws = (
+        chunks.repartition(parts, "scope", "b", "chunk")
+        .select("scope", "slot", "total", "width", "b", F.explode(F.sequence(first, last)).alias("k"))
+        .select(
+            "slot",
+            "b",
+            F.coalesce(hash60(str(seed), *scope, *text) % F.col("total"), F.lit(0)).alias("at"),
+            "width",
+        )
+        .withColumn("bucket", F.coalesce(F.expr("at div width"), F.lit(0)))
+        .select("slot", "b", "at", _one_key("slot", "bucket").alias("key"))
+    )
+    # The planner cannot see how far the draws unfold and would broadcast *them*.
+    # There are at most five spans per profile, and the profiles were just counted.
+    small = profiles_held <= _BROADCAST_PROFILES
+    counts = (
+        draws.join(spans.hint("broadcast" if small else "merge"), "key")
         .where("at >= lo AND at < hi")
-        .groupBy("scope", "b", "code")
+        .groupBy("slot", "b", "profile")
         .agg(F.count("*").alias("n"))
+        .select("b", "n", _one_key("slot", "profile").alias("key"))
     )
+    codes = placed.select(_one_key("slot", "profile").alias("key"), "slot", "code")
+    counts = counts.join(codes.hint("broadcast" if small else "merge"), "key")
 
-
-def _unfold(counts: DataFrame, tasks: Sequence[str], runs: Sequence[str], joint: bool) -> DataFrame:
-    """Profile counts to confusion counts per task, replicate and run."""
-    width = len(runs) + 1
     if joint:
-        parts = F.array(
-            *(
-                F.struct(F.lit(t).alias("task"), F.slice("code", i * width + 1, width).alias("code"))
-                for i, t in enumerate(tasks)
-            )
-        )
-        counts = counts.select("b", "n", F.explode(parts).alias("p")).select("b", "n", "p.*")
-    else:
-        counts = counts.withColumnRenamed("scope", "task")
-    names = F.array(*(F.lit(r) for r in runs))
+        width = len(runs) + 1
+        pieces = F.array(*(F.slice("code", i * width + 1, width) for i in range(len(tasks))))
+        counts = counts.select("b", "n", F.posexplode(pieces).alias("slot", "code"))
     answers = counts.select(
-        "task", "b", "n",
+        "slot", "b", "n",
         F.element_at("code", 1).alias("y_true"),
-        F.posexplode(F.slice("code", 2, len(runs))).alias("member", "answer"),
-    ).where(F.col("answer") != NO_RUN)
+        F.slice("code", 2, len(runs)).alias("answers"),
+    ).select("slot", "b", "n", "y_true", F.posexplode("answers").alias("member", "answer"))
+    answers = answers.where(F.col("answer") != NO_RUN)
     return (
-        answers.select(
-            "task", "b", F.get(names, F.col("member")).alias("run"), "y_true",
+        answers.groupBy("slot", "b", "member", "y_true", "answer")
+        .agg(F.sum("n").alias("n"))
+        .select(
+            "slot", "b", "member", "y_true",
             F.when(F.col("answer") != NO_PREDICTION, F.col("answer")).alias("y_pred"), "n",
         )
-        .groupBy("task", "b", "run", "y_true", "y_pred")
-        .agg(F.sum("n").alias("n"))
     )
 
 
+def _one_key(slot: str, number: str) -> Column:
+    """Slot and number in one BIGINT (numbers stay under 2^40), declared non-null."""
+    return F.coalesce(F.shiftleft(F.col(slot).cast("bigint"), 40) + F.col(number), F.lit(-1))
+
+
 def _multinomial_cells(
     profiles: DataFrame,
     tasks: Sequence[str],
@@ -222,7 +255,11 @@ def _multinomial_cells(
     for row in dealt.groupBy("scope", "block").agg(F.sum("n").alias("m")).collect():
         shares[row["scope"]][row["block"]] = row["m"]
     width = len(runs) + 1
-    slots = {s: ([0] if not joint else list(range(len(tasks)))) for s in sizes}
+    # Tasks of a profile, each with the place of its truth in the code.
+    slots = {
+        s: list(enumerate(range(0, width * len(tasks), width))) if joint else [(list(tasks).index(s), 0)]
+        for s in sizes
+    }
 
     def draw(key, table):
         import numpy as np
@@ -244,10 +281,10 @@ def _multinomial_cells(
             inner = np.random.default_rng([seed, mark, int(b), block + 1])
             drawn[i] = inner.multinomial(int(mine[block]), n / n.sum())
         parts = []
-        for slot in slots[scope]:
-            truth = code[:, slot * width]
+        for slot, start in slots[scope]:
+            truth = code[:, start]
             for member in range(len(runs)):
-                answer = code[:, slot * width + 1 + member]
+                answer = code[:, start + 1 + member]
                 if answer[0] == NO_RUN:
                     continue
                 base = int(answer.max()) + 2
@@ -271,7 +308,6 @@ def _multinomial_cells(
         slot, b, member, y_true, y_pred, n = np.concatenate(parts or [np.empty((6, 0), int)], axis=1)
         return pa.table(
             {
-                "scope": pa.array([scope] * len(n), pa.string()),
                 "slot": pa.array(slot, pa.int32()),
                 "b": pa.array(b, pa.int32()),
                 "member": pa.array(member, pa.int32()),
@@ -283,15 +319,14 @@ def _multinomial_cells(
 
     chunks = -(-replicates // _REPLICATES_PER_CHUNK)
     spread = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    cells = spread.groupBy("scope", "block", "chunk").applyInArrow(draw, _DRAWN)
-    run_names = F.array(*(F.lit(r) for r in runs))
-    task_names = F.array(*(F.lit(t) for t in tasks))
-    task = F.get(task_names, F.col("slot")) if joint else F.col("scope")
-    named = cells.select(
-        task.alias("task"), "b", F.get(run_names, F.col("member")).alias("run"),
-        "y_true", "y_pred", "n",
+    # One task per group up to a few thousand; adaptive merging would put all in one.
+    groups = min(len(sizes) * blocks * chunks, 4096)
+    cells = (
+        spread.repartition(max(groups, 1), "scope", "block", "chunk")
+        .groupBy("scope", "block", "chunk")
+        .applyInArrow(draw, _DRAWN)
     )
-    return named.groupBy("task", "b", "run", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    return cells.groupBy("slot", "b", "member", "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def replicate_scores(
@@ -311,16 +346,21 @@ def replicate_scores(
     """
     profiles = profile_counts(predictions, tasks, runs, joint)
     if method == "hash":
-        counts = _hash_counts(profiles, replicates, seed, joint)
-        cells = _unfold(counts, tasks, runs, joint)
+        cells = _hash_cells(profiles, tasks, runs, replicates, seed, joint)
     elif method == "cells":
         cells = _multinomial_cells(
             profiles, tasks, runs, replicates, seed, joint, profiles_per_block
         )
     else:
         raise ValueError(f"unknown method {method!r}")
-    by = ["task", "b", "run"]
-    return per_class(cells, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+    by = ["slot", "b", "member"]
+    scores = per_class(cells, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+    return scores.select(
+        F.get(F.array(*map(F.lit, tasks)), F.col("slot")).alias("task"),
+        "b",
+        F.get(F.array(*map(F.lit, runs)), F.col("member")).alias("run"),
+        "macro_f1",
+    )
 
 
 def bootstrap_ci(
@@ -372,9 +412,11 @@ def paired_deltas(
     def side(names: Sequence[str]) -> Column:
         return F.avg(F.when(F.col("run").isin(list(names)), F.col("macro_f1")))
 
+    # The order in which floats are added is not fixed; rounding keeps equal means equal,
+    # so that a difference of zero counts as zero in the p-values.
     deltas = (
         scores.groupBy("task", "b")
-        .agg((side(candidates) - side(baselines)).alias("delta"))
+        .agg((F.round(side(candidates) - side(baselines), 12) + F.lit(0.0)).alias("delta"))
         .where(F.col("delta").isNotNull())
     )
     if not across_tasks:

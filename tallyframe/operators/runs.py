@@ -87,8 +87,9 @@ def leaderboard(
     best = F.max("mean_macro_f1").over(everything)
     if reference is not None:
         best = F.max(F.when(F.col(by[0]) == reference, F.col("mean_macro_f1"))).over(everything)
+    # Rounded, so that the order of float additions cannot part runs that tie.
     return means.select(
-        F.rank().over(Window.orderBy(F.desc("mean_macro_f1"))).alias("place"),
+        F.rank().over(Window.orderBy(F.round("mean_macro_f1", 12).desc())).alias("place"),
         *by,
         "mean_macro_f1",
         "tasks",

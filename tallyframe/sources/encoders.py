@@ -23,6 +23,6 @@ def write_encoder(encoder: DataFrame, path: str) -> None:
 
 def read_encoder(spark: SparkSession, path: str) -> DataFrame:
     """``(task, class_id, class_name)`` from one encoder file or folder."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", _ENTRY)).alias("task", "entry"))
     return entries.select("task", F.posexplode("entry.classes").alias("class_id", "class_name"))

@@ -24,7 +24,10 @@ PREDICTION_SCHEMA = T.StructType(
     ]
 )
 
-_TASK_METRICS = "struct<macro_f1: double, accuracy: double, weighted_f1: double, per_class_f1: array<double>>"
+# Figures of a task in a metrics file; the two known layouts each have some of them.
+_FIGURES = {
+    "macro_f1": "double", "accuracy": "double", "weighted_f1": "double", "per_class_f1": "array<double>",
+}
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -70,25 +73,19 @@ def write_run_metrics(metrics: DataFrame, path: str) -> None:
     ``metrics`` has one row per (run, split, task); each line of the result is the
     object of one run, in that run's own folder.
     """
-    wanted = ("macro_f1", "accuracy", "weighted_f1", "per_class_f1")
-    figures = F.struct(*(c for c in wanted if c in metrics.columns))
-    # Fields are glued as text so that tasks and the plain mean share one object.
-    pair = F.concat(F.to_json(F.struct(F.col("task").alias("t"))), F.lit("|"))
-    name = F.regexp_extract(pair, r'^\{"t":(".*")\}\|$', 1)
-    member = F.concat(name, F.lit(":"), F.to_json(figures))
-    lines = metrics.groupBy("run", "split").agg(
-        F.array_sort(F.collect_list(member)).alias("members"), F.avg("macro_f1").alias("mean")
+    figures = F.struct(*(c for c in _FIGURES if c in metrics.columns))
+    entry = F.struct("task", F.to_variant_object(figures))
+    whole = F.map_concat(
+        F.map_from_entries(F.collect_list(entry)),
+        F.create_map(
+            F.lit("mean_macro_f1"), F.avg("macro_f1").cast("variant"),
+            F.lit("split"), F.first("split").cast("variant"),
+        ),
     )
-    text = F.concat(
-        F.lit("{"),
-        F.concat_ws(",", "members"),
-        F.lit(',"mean_macro_f1":'),
-        F.col("mean").cast("string"),
-        F.lit(',"split":'),
-        F.to_json(F.array("split")).substr(F.lit(2), F.length(F.to_json(F.array("split"))) - 2),
-        F.lit("}"),
-    )
-    lines.select("run", "split", text.alias("value")).write.partitionBy("run", "split").text(path)
+    lines = metrics.groupBy("run", "split").agg(whole.alias("whole"))
+    lines.select("run", "split", F.to_json("whole").alias("value")).write.partitionBy(
+        "run", "split"
+    ).text(path)
 
 
 def read_runs(
@@ -101,7 +98,7 @@ def read_runs(
     weighted F1) have the same columns, absent figures null.  ``prefix`` is
     compared with the whole prefix, so ``exp_1`` does not take in ``exp_10``.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     flat = rf"([^/]+)_{split}_results\.json$"
     nested = rf"/run=([^/]+)/split={split}/[^/]*$"
@@ -111,19 +108,18 @@ def read_runs(
     chosen = files.select(F.url_decode(run).alias("run"), "value").where(F.col("run").isNotNull())
     if prefix is not None:
         chosen = chosen.where(run_prefix(F.col("run")) == prefix)
-    fields = F.explode(F.from_json("value", "map<string, string>")).alias("task", "body")
+    fields = F.explode(F.parse_json("value").cast("map<string, variant>")).alias("task", "body")
     return (
         chosen.select("run", fields)
-        .where(F.col("body").startswith("{"))
+        .where(F.schema_of_variant("body").startswith("OBJECT"))
         .select(
             "run",
             run_prefix(F.col("run")).alias("prefix"),
             run_seed(F.col("run")).alias("seed"),
             F.lit(split).alias("split"),
             "task",
-            F.from_json("body", _TASK_METRICS).alias("m"),
+            *(F.try_variant_get("body", f"$.{c}", t).alias(c) for c, t in _FIGURES.items()),
         )
-        .select("run", "prefix", "seed", "split", "task", "m.*")
     )
 
 
