@@ -167,13 +167,21 @@ def evaluate(
     counts.  The summary row is the mean of task values, not a roll-up.
     """
     group = [c for c in by if c != "task"]
-    tasks = settle(
-        task_metrics(confusion_cells(predictions, by), by).drop("per_class_f1"), "metrics"
-    )
-    means = tasks.groupBy(*group).agg(
-        F.lit(summary).alias("task"),
-        F.sum("n").alias("n"),
-        F.sum("errors").alias("errors"),
-        *(F.avg(c).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")),
+    figures = ("n", "errors", "accuracy", "macro_f1", "weighted_f1")
+    # The tasks of a run travel with its mean, so nothing is computed twice.
+    runs = (
+        task_metrics(confusion_cells(predictions, by), by)
+        .groupBy(*group)
+        .agg(
+            F.collect_list(F.struct("task", *figures)).alias("tasks"),
+            F.struct(
+                F.lit(summary).alias("task"),
+                *(F.sum(c).alias(c) for c in figures[:2]),
+                *(F.avg(c).alias(c) for c in figures[2:]),
+            ).alias("mean"),
+        )
+        .where(F.size("tasks") > 0)
     )
-    return tasks.unionByName(means)
+    return runs.select(
+        *group, F.explode(F.array_append("tasks", F.col("mean"))).alias("row")
+    ).select(*group, "row.*")

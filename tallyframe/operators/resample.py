@@ -421,9 +421,13 @@ def paired_deltas(
     )
     if not across_tasks:
         return deltas
-    deltas = settle(deltas, "deltas")
-    means = deltas.groupBy("b").agg(F.avg("delta").alias("delta"))
-    return deltas.unionByName(means.select(F.lit(MEAN_TASK).alias("task"), "b", "delta"))
+    draws = deltas.groupBy("b").agg(
+        F.collect_list(F.struct("task", "delta")).alias("tasks"),
+        F.struct(F.lit(MEAN_TASK).alias("task"), F.avg("delta").alias("delta")).alias("mean"),
+    )
+    return draws.select("b", F.explode(F.array_append("tasks", F.col("mean"))).alias("d")).select(
+        "d.task", "b", "d.delta"
+    )
 
 
 def _share(condition: Column) -> Column:

@@ -21,9 +21,13 @@ def aggregate_seeds(
 
     Tasks some runs lack are aggregated over the runs that have them.
     """
-    run_means = metrics.groupBy(*by, "run").agg(F.avg(value).alias(value))
-    values = metrics.select(*by, "task", value).unionByName(
-        run_means.select(*by, F.lit(summary).alias("task"), value)
+    # The tasks of a run travel with its mean, so the metrics are computed once.
+    runs = metrics.groupBy(*by, "run").agg(
+        F.collect_list(F.struct("task", F.col(value).alias("value"))).alias("tasks"),
+        F.struct(F.lit(summary).alias("task"), F.avg(value).alias("value")).alias("mean"),
+    )
+    values = runs.select(*by, F.explode(F.array_append("tasks", F.col("mean"))).alias("v")).select(
+        *by, "v.task", F.col("v.value").alias(value)
     )
     return values.groupBy(*by, "task").agg(
         F.avg(value).alias("mean"),

@@ -34,23 +34,21 @@ def _rounded_up(total: int, share: float) -> int:
                .to_integral_value(ROUND_CEILING))
 
 
-def apportion(strata: DataFrame, size: str, draws: int, quota: str) -> DataFrame:
-    """Share ``draws`` over the strata in proportion to ``size``.
+def apportion(strata: DataFrame, size: str, total: int, draws: int, quota: str) -> DataFrame:
+    """Share ``draws`` over the strata in proportion to ``size``, which adds up to ``total``.
 
     Everyone gets the floor of the exact share; the rest goes to the largest
     remainders, ties to the smaller stratum value.  Integer arithmetic throughout.
-    The window sees one row per stratum.
+    The windows see one row per stratum.
     """
-    total = strata.agg(F.sum(size)).first()[0] or 0
     if total == 0:
         return strata.withColumn(quota, F.lit(0).cast("bigint"))
     wide = "decimal(38,0)"
+    whole = F.lit(Decimal(total)).cast(wide)
     product = F.col(size).cast("decimal(19,0)") * F.lit(Decimal(draws)).cast("decimal(19,0)")
-    shares = strata.withColumn("_rem", (product % F.lit(Decimal(total)).cast(wide)).cast(wide))
-    shares = shares.withColumn(
-        "_floor", ((product - F.col("_rem")) / F.lit(Decimal(total)).cast(wide)).cast("bigint")
-    )
-    left = draws - int(shares.agg(F.sum("_floor")).first()[0])
+    shares = strata.withColumn("_rem", (product % whole).cast(wide))
+    shares = shares.withColumn("_floor", ((product - F.col("_rem")) / whole).cast("bigint"))
+    left = F.lit(draws) - F.sum("_floor").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc("_rem"), F.asc_nulls_first("stratum")))
     return shares.withColumn(
         quota, F.col("_floor") + (place <= left).cast("bigint")
@@ -133,7 +131,7 @@ def stratified_split(
         base.groupBy("stratum", "bucket").agg(F.count("*").alias("n")), "histogram"
     )
 
-    sizes = settle(histogram.groupBy("stratum").agg(F.sum("n").alias("n")), "strata")
+    sizes = histogram.groupBy("stratum").agg(F.sum("n").alias("n"))
     facts = sizes.agg(F.sum("n"), F.count("*"), F.min("n")).first()
     total, groups, smallest = int(facts[0] or 0), int(facts[1]), facts[2]
     held = min(total, _rounded_up(total, ratios[1] + ratios[2]))
@@ -145,9 +143,9 @@ def stratified_split(
             raise ValueError("a stratum has a single row")
         if min(held, tested, held - tested) < groups:
             raise ValueError("fewer held-out rows than strata")
-    quotas = apportion(sizes, "n", total - held, "train")
+    quotas = apportion(sizes, "n", total, total - held, "train")
     quotas = quotas.withColumn("left_over", F.col("n") - F.col("train"))
-    quotas = apportion(quotas, "left_over", held - tested, "val")
+    quotas = apportion(quotas, "left_over", held, held - tested, "val")
     quotas = quotas.withColumn("val", F.col("train") + F.col("val"))
 
     cuts = _cut_points(base, histogram, quotas, ["train", "val"])

@@ -100,6 +100,6 @@ def test_quotas_stay_exact_for_huge_counts(table):
     strata = table("stratum string, n bigint", ("a", 3 * 10**12), ("b", 10**12 + 1), ("c", 7))
     total = 4 * 10**12 + 8
     draws = 3 * 10**12
-    got = {r.stratum: r.q for r in apportion(strata, "n", draws, "q").collect()}
+    got = {r.stratum: r.q for r in apportion(strata, "n", total, draws, "q").collect()}
     assert got == largest_remainder({"a": 3 * 10**12, "b": 10**12 + 1, "c": 7}, draws)
     assert sum(got.values()) == draws and total > draws
