@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ def cramers_v(df: DataFrame, tasks: Sequence[str], bias_corrected: bool = False)
                 F.col(a).alias("a"),
                 F.col(b).alias("b"),
             )
-            for a, b in combinations(tasks, 2)
+            for a, b in combinations_with_replacement(tasks, 2)
         )
     )
     pair = ["task_a", "task_b"]
@@ -67,21 +67,16 @@ def cramers_v(df: DataFrame, tasks: Sequence[str], bias_corrected: bool = False)
         rows, cols = (x - F.try_divide((x - 1) * (x - 1), spare) for x in (rows, cols))
     smaller = F.least(rows, cols) - 1.0
     v = F.coalesce(F.sqrt(F.try_divide(phi2, F.when(smaller > 0, smaller))), F.lit(0.0))
-    upper = stats.select(*pair, v.alias("v"), "n")
+    same = F.col("task_a") == F.col("task_b")
+    upper = stats.select(*pair, F.when(same, 1.0).otherwise(v).alias("v"), "n")
     both = F.array(
         F.struct(F.col("task_a").alias("x"), F.col("task_b").alias("y")),
         F.struct(F.col("task_b").alias("x"), F.col("task_a").alias("y")),
     )
-    off_diagonal = upper.select(F.explode(both).alias("p"), "v", "n").select(
+    mirrored = F.when(same, F.slice(both, 1, 1)).otherwise(both)
+    return upper.select(F.explode(mirrored).alias("p"), "v", "n").select(
         F.col("p.x").alias("task_a"), F.col("p.y").alias("task_b"), "v", "n"
     )
-    known = joint.agg(
-        *(F.sum(F.when(F.col(t).isNotNull(), F.col("weight"))).alias(t) for t in tasks)
-    )
-    diagonal = known.unpivot([], list(tasks), "task_a", "n").select(
-        "task_a", F.col("task_a").alias("task_b"), F.lit(1.0).alias("v"), "n"
-    )
-    return off_diagonal.unionByName(diagonal)
 
 
 def association_matrix(pairs: DataFrame, tasks: Sequence[str]) -> DataFrame:

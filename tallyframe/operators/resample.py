@@ -266,7 +266,8 @@ def _multinomial_cells(
         import pyarrow as pa
 
         scope, block, chunk = (v.as_py() for v in key)
-        code = np.array(table.column("code").to_pylist(), dtype="int64")
+        flat = np.concatenate([c.flatten() for c in table.column("code").chunks])
+        code = flat.reshape(table.num_rows, -1).astype("int64")
         n = np.asarray(table.column("n"), dtype="int64")
         order = np.lexsort(code.T[::-1])
         code, n = code[order], n[order]

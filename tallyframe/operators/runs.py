@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import interval_text, mean_std_text
-from tallyframe.storage import lookup_join
+from tallyframe.storage import settle
 
 
 def aggregate_seeds(
@@ -186,12 +186,17 @@ def stopping_summary(
 def cost_ratios(
     costs: DataFrame, reference: str, figures: Sequence[str], key: str = "setup"
 ) -> DataFrame:
-    """Each setup's costs divided by those of the reference setup."""
-    base = costs.where(F.col(key) == reference).select(
-        F.lit(1).alias("_one"), *(F.col(c).alias(f"_{c}") for c in figures)
-    )
-    return lookup_join(costs.withColumn("_one", F.lit(1)), base, ["_one"], "left").select(
+    """Each setup's costs divided by those of the reference setup.
+
+    The reference figures are scalars to the plan, so nothing is joined.
+    """
+    known = settle(costs.select(key, *figures), "costs")
+    base = known.where(F.col(key) == reference)
+    return known.select(
         key,
         *figures,
-        *(F.try_divide(F.col(c), F.col(f"_{c}")).alias(f"{c}_ratio") for c in figures),
+        *(
+            F.try_divide(F.col(c), base.select(F.max(c)).scalar()).alias(f"{c}_ratio")
+            for c in figures
+        ),
     )
