@@ -451,6 +451,18 @@ def association_matrix(spark, sf_dir):
 # --- resampling ------------------------------------------------------------------
 
 
+@register
+def bootstrap_draws(spark, sf_dir):
+    """How often each position of a language's documents is drawn in 20 replicates."""
+    sizes = I.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("scope")).agg(
+        F.count("*").alias("total")
+    )
+    return (
+        resample.bootstrap_draws(sizes, 20, seed=3)
+        .groupBy("scope", "b", "at").agg(F.count("*").alias("times"))
+    )
+
+
 @register
 def bootstrap_ci(spark, sf_dir):
     predictions = I.with_predictions(I.document_truth(spark, sf_dir))

@@ -536,6 +536,13 @@ FROM costs c LEFT JOIN ref ON true""",
         for t in ("status", "priority", "segment", "year")
     )
     + " FROM v GROUP BY task_a",
+    "bootstrap_draws": """
+WITH sizes AS (SELECT lang AS scope, count(*) AS total FROM documents GROUP BY lang),
+draws AS (SELECT scope, CAST(b AS INTEGER) AS b,
+            CAST('0x' || substr(md5(concat_ws('|', '3', scope, CAST(b AS VARCHAR), CAST(k AS VARCHAR))), 1, 15)
+                 AS BIGINT) % total AS pos
+          FROM sizes, range(20) AS bs(b), LATERAL (SELECT unnest(range(total)) AS k))
+SELECT scope, b, pos AS "at", count(*) AS times FROM draws GROUP BY scope, b, pos""",
     "bootstrap_ci": _resample(_DOC_TRUTH, "'multi'", joint=False).rstrip() + """,
 means AS (SELECT task, b, avg(macro_f1) AS score FROM scores GROUP BY task, b)
 SELECT task, round(avg(score), 9) + 0.0 AS mean, round(quantile_cont(score, 0.025), 9) + 0.0 AS low,

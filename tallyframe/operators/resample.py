@@ -118,6 +118,39 @@ def profile_counts(
     return profiles
 
 
+def bootstrap_draws(
+    sizes: DataFrame, replicates: int, seed: int = 0, joint: bool = False
+) -> DataFrame:
+    """Positions drawn with replacement: one row per (scope, b, k) with ``at`` in ``[0, total)``.
+
+    ``sizes`` has a row per scope with its ``total``; its other columns are kept.
+    Draws depend on seed, scope, replicate and ``k`` alone - on seed, replicate
+    and ``k`` when ``joint``, so that all scopes share them.
+    """
+    chunks = sizes.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+    ).select(
+        "*",
+        F.explode(F.expr(f"sequence(0L, (total - 1) div {_DRAWS_PER_CHUNK})")).alias("chunk"),
+    )
+    first = F.col("chunk") * _DRAWS_PER_CHUNK
+    last = F.least(first + _DRAWS_PER_CHUNK, F.col("total")) - 1
+    # A count of its own, so that adaptive execution does not merge the few small
+    # chunk rows into one task: each of them unfolds into thousands of draws.
+    total = int(sizes.agg(F.sum("total")).first()[0] or 0)
+    parts = max(
+        sizes.sparkSession.sparkContext.defaultParallelism, total * replicates // _DRAWS_PER_TASK
+    )
+    scope: list[Column] = [] if joint else [F.col("scope")]
+    text = [F.col(c).cast("string") for c in ("b", "k")]
+    at = F.coalesce(hash60(str(seed), *scope, *text) % F.col("total"), F.lit(0))
+    return (
+        chunks.repartition(parts, "scope", "b", "chunk")
+        .select(*sizes.columns, "b", F.explode(F.sequence(first, last)).alias("k"))
+        .select("*", at.alias("at"))
+    )
+
+
 def _scope_number(tasks: Sequence[str], joint: bool) -> Column:
     """Small integer standing for the scope: fixed-width keys are cheaper to group by."""
     if joint:
@@ -163,40 +196,11 @@ def _hash_cells(
     sizes = placed.groupBy("scope", "slot").agg(
         F.max("total").alias("total"), F.max("width").alias("width"), F.count("*").alias("held")
     )
-    facts = sizes.agg(F.sum("total"), F.sum("held")).first()
-    total, profiles_held = int(facts[0] or 0), int(facts[1] or 0)
-    chunks = sizes.select(
-        "scope",
-        "slot",
-        "total",
-        "width",
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"),
-    ).select(
-        "*",
-        F.explode(F.expr(f"sequence(0L, (total - 1) div {_DRAWS_PER_CHUNK})")).alias("chunk"),
-    )
-    first = F.col("chunk") * _DRAWS_PER_CHUNK
-    last = F.least(first + _DRAWS_PER_CHUNK, F.col("total")) - 1
-    # A count of its own, so that adaptive execution does not merge the few small
-    # chunk rows into one task: each of them unfolds into thousands of draws.
-    parts = max(
-        profiles.sparkSession.sparkContext.defaultParallelism,
-        total * replicates // _DRAWS_PER_TASK,
-    )
-    scope: list[Column] = [] if joint else [F.col("scope")]
-    text = [F.col(c).cast("string") for c in ("b", "k")]
-    draws = (
-        chunks.repartition(parts, "scope", "b", "chunk")
-        .select("scope", "slot", "total", "width", "b", F.explode(F.sequence(first, last)).alias("k"))
-        .select(
-            "slot",
-            "b",
-            F.coalesce(hash60(str(seed), *scope, *text) % F.col("total"), F.lit(0)).alias("at"),
-            "width",
-        )
-        .withColumn("bucket", F.coalesce(F.expr("at div width"), F.lit(0)))
-        .select("slot", "b", "at", _one_key("slot", "bucket").alias("key"))
+    profiles_held = int(sizes.agg(F.sum("held")).first()[0] or 0)
+    draws = bootstrap_draws(sizes, replicates, seed, joint).select(
+        "slot", "b", "at", F.coalesce(F.expr("at div width"), F.lit(0)).alias("bucket")
     )
+    draws = draws.select("slot", "b", "at", _one_key("slot", "bucket").alias("key"))
     # The planner cannot see how far the draws unfold and would broadcast *them*.
     # There are at most five spans per profile, and the profiles were just counted.
     small = profiles_held <= _BROADCAST_PROFILES

@@ -5,7 +5,8 @@ from tests.session import make_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = make_session()
+    # Many small plans and little data: quick compilation beats optimised code.
+    session = make_session(java_options="-XX:TieredStopAtLevel=1")
     yield session
     session.stop()
 

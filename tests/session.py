@@ -1,12 +1,13 @@
 from pyspark.sql import SparkSession
 
 
-def make_session(cpus: str = "8") -> SparkSession:
+def make_session(cpus: str = "8", java_options: str = "") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyframe")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.driver.extraJavaOptions", java_options)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
