@@ -207,7 +207,8 @@ profiles AS (
         f" chosen AS (SELECT p.*, o.ord FROM ({wanted}) p JOIN {runs} o USING (run))",
         profiles,
         f"""
-placed AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY code, row_idx) - 1 AS at,
+placed AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY
+                    substr(md5(array_to_string(code, ',')), 1, 3), code, row_idx) - 1 AS at,
                   count(*) OVER (PARTITION BY scope) AS total FROM profiles),
 draws AS (SELECT scope, b, CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % total AS at
           FROM (SELECT DISTINCT scope, total FROM placed) s,

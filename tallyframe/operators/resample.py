@@ -168,22 +168,47 @@ def _hash_cells(
 ) -> DataFrame:
     """Keyed draws, as confusion counts.
 
-    Profiles in code order own consecutive positions; a draw is a position.  A
-    position finds its profile through a bucketed equi-join with about as many
-    buckets as profiles, so the lookup costs the same for any number of them.
+    Profiles own consecutive positions, in the order of hashed blocks and of code
+    inside a block, so that no window holds the profiles of more than one block.
+    A draw is a position; it finds its profile through a bucketed equi-join with
+    about as many buckets as profiles, which costs the same for any number of them.
     """
-    order = Window.partitionBy("scope").orderBy("code")
-    whole = Window.partitionBy("scope")
-    held = F.count("*").over(whole)
-    placed = profiles.select(
-        "scope",
-        _scope_number(tasks, joint).alias("slot"),
-        "code",
-        F.row_number().over(order).alias("profile"),
-        (F.sum("n").over(order) - F.col("n")).alias("lo"),
-        F.sum("n").over(order).alias("hi"),
-        F.sum("n").over(whole).alias("total"),
-        F.ceil(F.sum("n").over(whole) / (held * 4)).alias("width"),
+    dealt = profiles.withColumn("block", _code_block(F.col("code")))
+    scope = Window.partitionBy("scope")
+    upto = F.sum("n").over(scope.orderBy("block"))
+    held = F.sum("held").over(scope)
+    blocks = (
+        dealt.groupBy("scope", "block")
+        .agg(F.sum("n").alias("n"), F.count("*").alias("held"))
+        .select(
+            "scope",
+            "block",
+            (upto - F.col("n")).alias("before"),
+            F.sum("n").over(scope).alias("total"),
+            F.ceil(F.sum("n").over(scope) / (held * 4)).alias("width"),
+        )
+    )
+    inside = Window.partitionBy("scope", "block").orderBy("code")
+    within = F.sum("n").over(inside)
+    placed = (
+        dealt.select(
+            "scope",
+            "block",
+            "code",
+            _numbered(F.col("block"), F.row_number().over(inside)).alias("profile"),
+            (within - F.col("n")).alias("lo"),
+            within.alias("hi"),
+        )
+        .join(blocks, ["scope", "block"])
+        .select(
+            "scope",
+            _scope_number(tasks, joint).alias("slot"),
+            "code",
+            "profile",
+            *((F.col(c) + F.col("before")).alias(c) for c in ("lo", "hi")),
+            "total",
+            "width",
+        )
     )
     placed = settle(placed, "positions")
     spans = placed.select(
@@ -234,6 +259,16 @@ def _hash_cells(
     )
 
 
+def _code_block(code: Column) -> Column:
+    """Three hex digits that deal the profiles into 4096 blocks."""
+    return F.substring(F.md5(F.array_join(code.cast("array<string>"), ",")), 1, 3)
+
+
+def _numbered(block: Column, place: Column) -> Column:
+    """A number for the profile at a place of a block, under 2^40."""
+    return F.shiftleft(F.conv(block, 16, 10).cast("bigint"), 28) + place
+
+
 def _one_key(slot: str, number: str) -> Column:
     """Slot and number in one BIGINT (numbers stay under 2^40), declared non-null."""
     return F.coalesce(F.shiftleft(F.col(slot).cast("bigint"), 40) + F.col(number), F.lit(-1))

@@ -50,14 +50,18 @@ def drawn(key, total):
 
 
 def brute_hash(data, task, runs, b, seed, joint=False):
-    """Positions are rows sorted by profile; equal profiles are interchangeable."""
+    """Positions are rows sorted by block and profile; equal profiles are interchangeable."""
     tasks = ["x", "y"] if joint else [task]
 
     def code(i):
         return [v for t in tasks for v in
                 [data[t, runs[0]][0][i], *(-1 if data[t, r][1][i] is None else data[t, r][1][i] for r in runs)]]
 
-    order = sorted(range(120), key=code)
+    def place(i):
+        text = ",".join(map(str, code(i)))
+        return hashlib.md5(text.encode()).hexdigest()[:3], code(i)
+
+    order = sorted(range(120), key=place)
     scope = [] if joint else [task]
     picks = [order[drawn("|".join([str(seed), *scope, str(b), str(k)]), 120)] for k in range(120)]
     return [macro([data[task, r][0][i] for i in picks], [data[task, r][1][i] for i in picks]) for r in runs]
