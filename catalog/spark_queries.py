@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from tallyframe import sources
-from tallyframe.functions import log_softmax, run_prefix, run_seed, softmax
+from tallyframe.functions import run_prefix, run_seed, softmax
 from tallyframe.operators import association, cells, errors, labels, metrics
 from tallyframe.operators import resample, runs, scoring, splits
 from tallyframe.plans import analyse_errors, compare_runs, evaluate_scores, prepare
@@ -752,7 +752,3 @@ def compare_pipeline(spark, sf_dir):
         predictions, ["lang", "half"], I.MULTI, I.SINGLE, REPLICATES, method="hash"
     )
     return rounded(out["paired"], *PAIRED)
-
-
-def log_probabilities(rows: DataFrame) -> DataFrame:
-    return rows.select("row_idx", "task", log_softmax(F.col("logits")).alias("logp"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from tallyframe.operators.cells import confusion_cells
 from tallyframe.operators.metrics import task_metrics
 from tallyframe.operators.resample import bootstrap_ci, compare_paired, paired_deltas
-from tallyframe.operators.runs import aggregate_seeds, compare_settings
+from tallyframe.operators.runs import aggregate_seeds
 from tallyframe.storage import settle
 
 
@@ -40,6 +40,3 @@ def compare_runs(
         )
         out["paired"] = compare_paired(deltas)
     return out
-
-
-__all__ = ["compare_runs", "compare_settings"]

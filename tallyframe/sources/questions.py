@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Cell texts that common data-frame CSV readers take for missing by default.
 NA_TOKENS = (
@@ -71,7 +70,3 @@ def read_split(
     """
     columns = [*([key] if key else []), text_col, *(f"{t}{suffix}" for t in tasks)]
     return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
-
-
-def question_schema(text_col: str, tasks: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in (text_col, *tasks)])
