@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.lang_id import fit_languages, predict_language
+from tallyframe.llm.lattice import Vocabulary
+from tallyframe.llm.lattice_lm import fit_lattice, score_texts
 from tallyframe.llm.repetition import COUNTS, repetition_rules
 from tallyframe.llm.url_filter import filter_urls
 
@@ -35,7 +39,32 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Rows kept out of training, by the crc32 of their id as text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder
+
+
+def piece_vocabulary() -> Vocabulary:
+    return Vocabulary.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_lattice(docs.where(~held_out(7, 2)), piece_vocabulary())
+    return score_texts(docs, model).select(
+        "doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out(3, 1)), piece_vocabulary())
+    return predict_language(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_url_filter": url_filter,
     "op2_quality_rules": quality_rules,
+    "op5_lattice_score": lattice_score,
+    "op10_language_id": language_id,
 }
