@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.duck_bpe import Ranks, bpe_round_trip
 from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
 from tallyframe.llm.lattice_lm import fit_lattice, score_texts
 from tallyframe.llm.repetition import COUNTS, repetition_rules
+from tallyframe.llm.token_store import read_token_store, write_token_store
 from tallyframe.llm.url_filter import filter_urls
 
 #: (host, path, verdict) of the URL rules.
@@ -56,6 +60,20 @@ def lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    store = write_token_store(table(spark, sf_dir, "documents"), definition)
+    return read_token_store(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Ranks.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(~held_out(3, 1)), piece_vocabulary())
@@ -66,5 +84,7 @@ QUERIES = {
     "op1_url_filter": url_filter,
     "op2_quality_rules": quality_rules,
     "op5_lattice_score": lattice_score,
+    "op6_token_files": token_files,
+    "op8_byte_bpe": byte_bpe,
     "op10_language_id": language_id,
 }
