@@ -26,6 +26,31 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block
 FROM fits WHERE place = 1
 """
 
+BENCHMARK_HITS = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS key
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item_words WHERE len(w) > 0)),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM words),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+hits AS (
+  SELECT p.doc_id, p.k, i.size, i.item_id
+  FROM (SELECT doc_id, k, size, array_to_string(w[k : k + size - 1], ' ') AS key FROM places, sizes WHERE k + size - 1 <= len(w)) p
+  JOIN item_windows i USING (size, key)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS word FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
 ORACLE = {
+    "op9_benchmark_hits": BENCHMARK_HITS,
     "op1_url_filter": URL_FILTER,
 }

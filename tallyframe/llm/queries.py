@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.decontaminate import find_contamination
 from tallyframe.llm.duck_bpe import Ranks, bpe_round_trip
 from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
@@ -74,6 +75,14 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(~held_out(3, 1)), piece_vocabulary())
@@ -86,5 +95,6 @@ QUERIES = {
     "op5_lattice_score": lattice_score,
     "op6_token_files": token_files,
     "op8_byte_bpe": byte_bpe,
+    "op9_benchmark_hits": benchmark_hits,
     "op10_language_id": language_id,
 }
