@@ -32,14 +32,18 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
+def _repeated(keys: np.ndarray, later: bool) -> np.ndarray:
+    """Which keys occur twice or more; with ``later`` only those equal to an earlier one."""
     ordered = np.sort(keys)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return np.zeros(len(keys), dtype=bool)
     place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-    return twice[place] == keys
+    found = twice[place] == keys
+    if later:
+        which = np.flatnonzero(found)
+        found[which[np.unique(keys[which], return_index=True)[1]]] = False
+    return found
 
 
 def _owned(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -78,7 +82,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         at = S.windows_inside(spans, length)
         inside = np.zeros(len(owner) + 1, dtype=np.int64)
         if len(at):
-            twice = at[_repeated(_owned(S.gram_hash(hashes, length)[at], owner[at]))]
+            twice = at[_repeated(_owned(S.gram_hash(hashes, length)[at], owner[at]), later=length != WINDOW)]
             np.add.at(inside, twice, 1)
             np.subtract.at(inside, twice + length, 1)
         covered = np.cumsum(inside[:-1]) > 0
@@ -105,8 +109,9 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null and empty texts have no words: all counts are zero, ``base_failed`` is true and they
     are not kept.  Repeated ids are judged row by row; other columns are left out, so
-    their names do not matter.  An n-gram counts with all its occurrences, the first one
-    included; a duplicate line is one equal to an earlier line.  Texts are measured in
+    their names do not matter.  Duplicate n-grams and
+    lines are those equal to an earlier one of the text; only the three-word windows of ``n_repeat_words``
+    count with their first occurrence too.  Texts are measured in
     pieces of about two megabytes of whole texts, so memory follows the longest text.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
