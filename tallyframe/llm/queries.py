@@ -13,6 +13,7 @@ from tallyframe.llm.duck_bpe import Ranks, bpe_round_trip
 from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
 from tallyframe.llm.lattice_lm import fit_lattice, score_texts
+from tallyframe.llm.quality_model import fit_quality, score_quality
 from tallyframe.llm.repetition import COUNTS, repetition_rules
 from tallyframe.llm.token_store import read_token_store, write_token_store
 from tallyframe.llm.url_filter import filter_urls
@@ -28,6 +29,9 @@ URL_RULES = (
 LISTED_HOSTS = ("cheap-pills", "ads-track")
 
 
+GOOD_SCORE = 0.7
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +57,15 @@ def piece_vocabulary() -> Vocabulary:
     return Vocabulary.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs.where(~held_out(4, 2)), table(spark, sf_dir, "labels"), vector_docs=docs)
+    scored = score_quality(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted")
+    )
+
+
 def lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_lattice(docs.where(~held_out(7, 2)), piece_vocabulary())
@@ -92,6 +105,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": url_filter,
     "op2_quality_rules": quality_rules,
+    "op3_quality_score": quality_score,
     "op5_lattice_score": lattice_score,
     "op6_token_files": token_files,
     "op8_byte_bpe": byte_bpe,
