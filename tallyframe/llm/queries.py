@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.decontaminate import find_contamination
 from tallyframe.llm.duck_bpe import Ranks, bpe_round_trip
+from tallyframe.llm.jaccard_rtree import jaccard_components
 from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
 from tallyframe.llm.lattice_lm import fit_lattice, score_texts
@@ -66,6 +67,10 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_lattice(docs.where(~held_out(7, 2)), piece_vocabulary())
@@ -106,6 +111,7 @@ QUERIES = {
     "op1_url_filter": url_filter,
     "op2_quality_rules": quality_rules,
     "op3_quality_score": quality_score,
+    "op4_jaccard_join": jaccard_join,
     "op5_lattice_score": lattice_score,
     "op6_token_files": token_files,
     "op8_byte_bpe": byte_bpe,

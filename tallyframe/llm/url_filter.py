@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm import bloom
 from tallyframe.storage import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of the filter at most (8 bytes each): a longer list only lets more false hits reach the join.
-MAX_BLOCKS = 1 << 20
 
 
 def _rest(url: Column) -> Column:
@@ -39,27 +38,6 @@ def canonical_url(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""))
 
 
-def _mask(key: Column) -> Column:
-    """Four of the 64 bits of a block."""
-    h = F.xxhash64(key, F.lit(7))
-    bits = None
-    for shift in (0, 6, 12, 18):
-        place = F.shiftrightunsigned(h, shift).bitwiseAND(63).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return bits
-
-
-def bloom_words(keys: DataFrame, blocks: int) -> Column:
-    """The filter of column ``key`` as a scalar: an array of ``blocks`` 64-bit words."""
-    filled = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("id")).agg(
-        F.bit_or(_mask(F.col("key"))).alias("word")
-    )
-    dense = keys.sparkSession.range(blocks).join(filled, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))
-    return dense.agg(ordered.getField("word")).scalar()
-
-
 def _entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
     """(key, rule, verdict, rank): one row per rule and per listed canonical URL."""
     written = F.concat("host", "path")
@@ -106,9 +84,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: s
     entries = settle(_entries(rules, listed), "url-entries")
     facts = entries.agg(F.count("*").alias("n"), F.collect_set("path_length").alias("lengths")).first()
     lengths = sorted(facts["lengths"])
-    blocks = 64
-    while blocks < MAX_BLOCKS and blocks * 4 < facts["n"]:
-        blocks *= 2
+    blocks = bloom.blocks_for(facts["n"])
     rows = pages.select(F.col(id_col), F.col(url_col).alias("__url")).withColumns(
         {"host": url_host(F.col("__url")), "path": url_path(F.col("__url"))}
     )
@@ -124,15 +100,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: s
         )
     )
     keys = F.array_union(ruled, F.array(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.col("path")))))
-    words = bloom_words(entries.select("key"), blocks)
+    words = bloom.bloom_words(entries.select("key"), blocks)
     probed = (
         rows.where("host <> ''").select("__url", keys.alias("keys"), words.alias("words")).select(
             "__url",
-            F.filter(
-                "keys",
-                lambda k: F.element_at("words", (F.pmod(F.xxhash64(k), F.lit(blocks)) + 1).cast("int")).bitwiseAND(_mask(k))
-                == _mask(k),
-            ).alias("hits"),
+            F.filter("keys", lambda k: bloom.may_contain("words", blocks, k)).alias("hits"),
         )
     )
     possible = probed.where(F.size("hits") > 0).select("__url", F.explode("hits").alias("key")).distinct()

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tallyframe.llm import url_filter
+from tallyframe.llm import bloom
 from tallyframe.llm.url_filter import filter_urls
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"), ("a.org", "", "block"), ("a.org", "", "allow"), (None, "/", "block")]
@@ -50,7 +50,7 @@ def test_every_url_is_judged_by_the_definition(frames):
 
 
 def test_a_full_filter_changes_nothing(frames, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(bloom, "blocks_for", lambda keys: 1)
     assert rows(filter_urls(*frames)) == {i: judged(u) for i, u in enumerate(URLS)}
 
 
