@@ -14,6 +14,7 @@ from tallyframe.llm.jaccard_rtree import jaccard_components
 from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
 from tallyframe.llm.lattice_lm import fit_lattice, score_texts
+from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.quality_model import fit_quality, score_quality
 from tallyframe.llm.repetition import COUNTS, repetition_rules
 from tallyframe.llm.token_store import read_token_store, write_token_store
@@ -85,6 +86,11 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Ranks.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coded = bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -114,6 +120,7 @@ QUERIES = {
     "op4_jaccard_join": jaccard_join,
     "op5_lattice_score": lattice_score,
     "op6_token_files": token_files,
+    "op7_line_dedup": line_dedup,
     "op8_byte_bpe": byte_bpe,
     "op9_benchmark_hits": benchmark_hits,
     "op10_language_id": language_id,
