@@ -1,13 +1,15 @@
 """Token-id files: ids renumbered by frequency, in byte-aligned variable-length coding with separate control bytes.
 
 A store is a folder: ``ranks`` (id of every rank, most frequent first) and ``blocks``, one folder per shard in
-ascending document order.  A block row holds whole documents: their ids and lengths, ``control`` with two
+ascending document order.  A block row holds whole documents: their ids and lengths, ``skip`` (tokens of
+the shard before it), ``control`` with two
 bits per token (bytes of its rank, less one; four tokens to a byte, lowest bits first) and ``data`` with those
 bytes, least significant first.  Frequent ids have small ranks and take one byte.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -52,54 +54,121 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+class _Ids:
+    """Lists of ids by text, in one flat array."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+
+    def add(self, texts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.index.update(zip(texts, range(len(self.index), len(self.index) + len(texts))))
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts one after the other, ids per text)."""
+        rows = np.fromiter(map(self.index.__getitem__, texts), dtype=np.int64, count=len(texts))
+        size = self.size[rows]
+        at = np.cumsum(size) - size
+        return self.ids[np.arange(int(size.sum())) + np.repeat(self.first[rows] - at, size)], size
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that treats white space only as a separator.
 
-    Words are encoded once each and remembered; what is remembered is dropped when it grows beyond a bound.
+    Words are encoded once each and remembered.  If the definition lower-cases and cuts by a pattern, as byte-level
+    definitions with word ends do, words of Latin letters are cut and lower-cased here first, and only their parts, which
+    are far fewer, are given to the tokenizer.  What is remembered is dropped when it grows beyond a bound.
     """
 
+    # A digit is a part of its own, so between parts without it, it shows where one ends.
+    _MARK = "7"
+
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        pattern = _cutting_pattern(json.loads(definition))
+        self.cut = regex.compile(pattern) if pattern else None
+        self.mark = self._plain([self._MARK])[0]
+        if len(self.mark) != 1 or self.cut is None or self.cut.findall("a7!") != ["a", "7", "!"]:
+            self.cut = None
+        self.words, self.parts = _Ids(), _Ids()
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, store: _Ids, texts: list[str]) -> None:
+        lists = self._plain(texts)
+        store.add(texts, np.array([i for x in lists for i in x]), np.array([len(x) for x in lists], dtype=np.int64))
+
+    def _add_marked(self, store: _Ids, texts: list[str]) -> None:
+        """All the texts, none of them with the mark, as one text."""
+        ids = np.array(self._plain([f" {self._MARK} ".join(texts)])[0])
+        marks = np.flatnonzero(ids == self.mark[0])
+        size = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        if len(size) != len(texts):
+            raise ValueError("the tokenizer does not keep words apart")
+        store.add(texts, np.delete(ids, marks), size)
 
     def _learn(self, words: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in lists], dtype=np.int64)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], dtype=np.uint32)])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        easy, hard = [], words
+        if self.cut is not None:
+            easy = [w for w in words if "<|" not in w and (w.isascii() or max(w) < "\u0100")]
+            hard = list(set(words).difference(easy))
+        if hard:
+            self._add(self.words, hard)
+        if easy:
+            cut = [self.cut.findall(w.lower()) for w in easy]
+            parts = [p for each in cut for p in each]
+            new = set(parts).difference(self.parts.index)
+            plain = [p for p in new if self._MARK not in p]
+            if plain:
+                self._add_marked(self.parts, plain)
+            if len(plain) < len(new):
+                self._add(self.parts, list(new.difference(plain)))
+            ids, size = self.parts.of(parts)
+            owner = np.repeat(np.arange(len(easy)), [len(each) for each in cut])
+            self.words.add(easy, ids, np.bincount(owner, size, minlength=len(easy)).astype(np.int64))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; tokens per text)."""
-        if len(self.index) > _HELD_WORDS:
-            self._clear()
+        if len(self.words.index) > _HELD_WORDS:
+            self.words, self.parts = _Ids(), _Ids()
         lists = [_split(t) for t in texts]
         words = [w for each in lists for w in each]
-        new = list(set(words).difference(self.index))
+        new = list(set(words).difference(self.words.index))
         if new:
             self._learn(new)
-        rows = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        size = self.size[rows]
+        ids, size = self.words.of(words)
         owner = np.repeat(np.arange(len(texts)), [len(each) for each in lists])
         per_text = np.bincount(owner, size, minlength=len(texts)).astype(np.int64) + 1
-        at = np.cumsum(size) - size
         out = np.full(int(per_text.sum()), end, dtype=np.uint32)
-        source = np.arange(int(size.sum())) + np.repeat(self.first[rows] - at, size)
-        target = np.arange(int(size.sum())) + np.repeat(owner, size)
-        out[target] = self.ids[source]
+        out[np.arange(len(ids)) + np.repeat(owner, size)] = ids
         return out, per_text
 
 
+def _cutting_pattern(definition: dict) -> str | None:
+    """The pattern of a definition that does nothing but lower-case (after NFC) and cut by it into byte-level parts."""
+    plain = [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]
+    normal, cutting = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
+    steps = cutting.get("pretokenizers") or []
+    if normal.get("normalizers") != plain or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, level = steps
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    return split["pattern"].get("Regex")
+
+
 def _split(text: str) -> list[str]:
     if any(c in text for c in _ODD_SPACES):
         return [w for part in text.split(" ") for w in part.replace("\t", "\n").split("\n") if w]
@@ -132,11 +201,11 @@ def write_token_store(
     )
     encoded_schema = T.StructType(
         [T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("id", kind),
-         T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]
+         T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("skip", T.LongType())]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = Encoder(tokenizer), 0
+        encoder, place, skip = Encoder(tokenizer), 0, 0
         for batch in batches:
             texts = S.texts_of(batch.column(2))
             for lo, hi in S.chunks(texts):
@@ -144,10 +213,11 @@ def write_token_store(
                 parts = [x.tobytes() for x in np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.arange(place, place + hi - lo)), batch.column(1).slice(lo, hi - lo),
-                     pa.array(sizes), pa.array(parts, pa.binary())],
+                     pa.array(sizes), pa.array(parts, pa.binary()), pa.array(skip + np.cumsum(sizes) - sizes)],
                     names=encoded_schema.names,
                 )
                 place += hi - lo
+                skip += len(ids)
 
     staged = fresh_path(spark, "token-ids")
     ordered.mapInArrow(encode, encoded_schema).write.option("compression", "zstd").parquet(staged)
@@ -173,7 +243,7 @@ def write_token_store(
     ).coalesce(1).write.parquet(f"{path}/ranks")
 
     block_schema = T.StructType(
-        [T.StructField("shard", T.StringType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType()),
+        [T.StructField("shard", T.StringType()), T.StructField("place", T.LongType()), T.StructField("skip", T.LongType()), T.StructField("n", T.LongType()),
          T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())),
          T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]
     )
@@ -185,8 +255,8 @@ def write_token_store(
         def block() -> pa.RecordBatch:
             values = np.concatenate([np.frombuffer(r[4], dtype="<u4") for r in held])
             control, data = pack(rank_of_id[values])
-            out = [f"{held[0][0]:07d}"], [held[0][1]], [len(values)], [[r[2] for r in held]], [[r[3] for r in held]], [control], [data]
-            types = pa.string(), pa.int64(), pa.int64(), pa.list_(to_arrow), pa.list_(pa.int64()), pa.binary(), pa.binary()
+            out = [f"{held[0][0]:07d}"], [held[0][1]], [held[0][5]], [len(values)], [[r[2] for r in held]], [[r[3] for r in held]], [control], [data]
+            types = pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(to_arrow), pa.list_(pa.int64()), pa.binary(), pa.binary()
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=block_schema.names)
 
@@ -220,33 +290,28 @@ def read_token_store(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     blocks = spark.read.parquet(f"{path}/blocks").withColumn("shard", F.col("shard").cast("int"))
     kind = blocks.schema["ids"].dataType.elementType
     schema = T.StructType(
-        [T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("before", T.LongType()),
-         T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+        [T.StructField("shard", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField(id_col, kind),
+         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                shard, place, count = (one.column(k)[0].as_py() for k in range(3))
+                shard, skip, count = (one.column(k)[0].as_py() for k in range(3))
                 sizes = one.column(4).flatten().to_numpy()
                 ids = id_of_rank[unpack(one.column(5)[0].as_py(), one.column(6)[0].as_py(), count)].astype("<u4")
                 parts = [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(sizes), pa.int32()), pa.array([place] * len(sizes)), pa.array(np.cumsum(sizes) - sizes),
+                    [pa.array([shard] * len(sizes), pa.int32()), pa.array(skip + np.cumsum(sizes) - sizes),
                      one.column(3).flatten(), pa.array(sizes), pa.array(parts, pa.binary())],
                     names=schema.names,
                 )
 
-    columns = ["shard", "place", "n", "ids", "sizes", "control", "data"]
-    decoded = blocks.select(*columns).mapInArrow(decode, schema)
-    shards = blocks.groupBy("shard").agg(F.sum("n").alias("total"))
-    shards = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    inside = blocks.select(
-        "shard", "place", (F.sum("n").over(Window.partitionBy("shard").orderBy("place")) - F.col("n")).alias("skip")
-    )
-    bases = inside.join(shards, "shard").select("shard", "place", (F.col("base") + F.col("skip")).alias("base"))
-    return decoded.join(bases, ["shard", "place"]).select(
+    decoded = blocks.select("shard", "skip", "n", "ids", "sizes", "control", "data").mapInArrow(decode, schema)
+    totals = blocks.groupBy("shard").agg(F.sum("n").alias("total"))
+    bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
+    # One row of two numbers per shard, and there are no more shards than shuffle partitions: small enough to broadcast.
+    return decoded.join(F.broadcast(bases), "shard").select(
         id_col, (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids"
     )
-
