@@ -24,7 +24,8 @@ from tallyframe.storage import fresh_path
 
 # Tokens of a block, if its documents are shorter than that; documents are never cut.
 BLOCK_TOKENS = 1 << 18
-_HELD_WORDS = 250_000
+# Words and parts of words that a task remembers.
+_HELD_WORDS = 500_000
 # Controls of Python's wider notion of white space that the tokenizer does not split at.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -118,10 +119,12 @@ class Encoder:
         store.add(texts, np.delete(ids, marks), size)
 
     def _learn(self, words: list[str]) -> None:
-        easy, hard = [], words
-        if self.cut is not None:
-            easy = [w for w in words if "<|" not in w and (w.isascii() or max(w) < "\u0100")]
-            hard = list(set(words).difference(easy))
+        easy, hard = [], []
+        if self.cut is None:
+            hard = words
+        else:
+            for w in words:
+                (easy if (w.isascii() or max(w) < "\u0100") and "<|" not in w else hard).append(w)
         if hard:
             self._add(self.words, hard)
         if easy:
@@ -140,7 +143,9 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; tokens per text)."""
         if len(self.words.index) > _HELD_WORDS:
-            self.words, self.parts = _Ids(), _Ids()
+            self.words = _Ids()
+        if len(self.parts.index) > _HELD_WORDS:
+            self.parts = _Ids()
         lists = [_split(t) for t in texts]
         words = [w for each in lists for w in each]
         new = list(set(words).difference(self.words.index))
