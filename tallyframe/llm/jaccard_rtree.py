@@ -9,7 +9,8 @@
 * In a first round every node is compared with the most connected node of its blocks, which ties groups of near copies
   together without pairing their members.  Blocks whose members are one component are done; in the others an
   R-tree per block finds the pairs of different components that the bound lets pass.
-* Pairs that pass are verified on the whole sets.
+* Pairs that pass are bounded once more in finer groups, as many as the sets are large, and verified on the
+  whole sets.
 """
 
 from __future__ import annotations
@@ -96,15 +97,30 @@ def _point(shingles: np.ndarray) -> bytes:
     return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()
 
 
+def _fine_point(shingles: np.ndarray) -> bytes:
+    """Counts in so many groups that about eight shingles fall in each: the bound is then sharp for large sets too."""
+    groups = GROUPS
+    while groups * 8 < len(shingles):
+        groups *= 2
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
+
+
+def _overlap_bound(x: bytes, y: bytes) -> int:
+    """Summed coordinate minima of two fine points; the finer one is folded to the groups of the other."""
+    a, b = np.frombuffer(x, dtype="<u2").astype(np.int64), np.frombuffer(y, dtype="<u2").astype(np.int64)
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)).sum())
+
+
 def _points(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<i4").reshape(-1, GROUPS)
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, keys, point) of every row; ``f1``, ``f2`` are a 128-bit fingerprint of the set."""
+    """(id, n, f1, f2, keys, point, fine) of every row; ``f1``, ``f2`` are a 128-bit fingerprint of the set."""
     schema = T.StructType(
         [T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
-         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType())]
+         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +133,7 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys))), pa.array([_point(s) for s in sets], pa.binary())],
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys))), pa.array([_point(s) for s in sets], pa.binary()), pa.array([_fine_point(s) for s in sets], pa.binary())],
                     names=schema.names,
                 )
 
@@ -128,19 +144,19 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(S.mix(shingles ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)) for seed in (0x51ED2701, 0x9D0F4A3C))
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, pa, pb) whose summed coordinate minima reach the needed overlap: (a, b)."""
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima, in fine groups, reach the needed overlap."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"p{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-            most = np.minimum(_points(batch.column(4).to_pylist()), _points(batch.column(5).to_pylist())).sum(axis=1)
-            ok = most >= needed(na + nb, percent)
+            most = [_overlap_bound(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            ok = np.array(most, dtype=np.int64) >= needed(na + nb, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -318,7 +334,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = settle(_signatures(rows, words, percent), "signatures")
     nodes = settle(
-        signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+        signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("fine").alias("fine"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -330,14 +346,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     chosen = members.join(pivots, "key").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("pivot"))
     star = chosen.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     facts = nodes.select("node", "n", "point")
-    of = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
-    first = _verified(_bounded(star.join(of("a"), "a").join(of("b"), "b"), percent), nodes, rows, words, percent)
+    first = _verified(_bounded(star, nodes, percent), nodes, rows, words, percent)
     labels = components(first)
     labelled = members.join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = settle(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_members = labelled.join(open_keys, "key").join(facts, "node")
-    more = _verified(_tree_pairs(open_members, percent).join(star, ["a", "b"], "left_anti"), nodes, rows, words, percent)
+    found = _tree_pairs(open_members, percent).join(star, ["a", "b"], "left_anti")
+    more = _verified(_bounded(found, nodes, percent), nodes, rows, words, percent)
     labels = components(first.union(more))
     classes = nodes.select("f1", "f2", "node", "rep").join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
