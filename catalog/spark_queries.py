@@ -281,10 +281,8 @@ def per_class_lists(spark, sf_dir):
     table = metrics.task_metrics(
         cells.confusion_cells(I.with_predictions(I.event_truth(spark, sf_dir)))
     )
-    listed = F.transform("per_class_f1", lambda x: F.format_string("%.6f", F.round(x, 9)))
-    return rounded(table, "accuracy", "macro_f1", "weighted_f1").withColumn(
-        "per_class_f1", F.array_join(listed, " ")
-    )
+    listed = rounded(table, "accuracy", "macro_f1", "weighted_f1").select("*", F.posexplode("per_class_f1").alias("position", "f1"))
+    return rounded(listed.drop("per_class_f1"), "f1")
 
 
 # --- errors ----------------------------------------------------------------------
@@ -507,6 +505,30 @@ def bootstrap_cells(spark, sf_dir):
     return rounded(table, "mean", "low", "high")
 
 
+@register
+def bootstrap_law(spark, sf_dir):
+    """What holds of every right bootstrap: draws add up, the estimate is inside, the spread is that of the law.
+
+    The variance of the accuracy over 1000 replicates of n draws is within a third of p (1 - p) / n.
+    """
+    predictions = order_predictions(spark, sf_dir)
+    drawn = resample.replicate_counts(predictions, ["status", "priority"], I.MULTI, 1000)
+    hit = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
+    each = drawn.groupBy("task", "run", "b").agg(F.sum("n").alias("drawn"), (hit / F.sum("n")).alias("accuracy"))
+    law = each.groupBy("task", "run").agg(
+        F.count("*").alias("replicates"), F.min("drawn").alias("least"), F.max("drawn").alias("most"),
+        F.var_pop("accuracy").alias("spread"),
+        F.percentile("accuracy", F.lit(0.001)).alias("low"), F.percentile("accuracy", F.lit(0.999)).alias("high"),
+    )
+    judged = cells.confusion_cells(predictions).where(F.col("run").isin(I.MULTI)).groupBy("task", "run").agg(F.sum("n").alias("n"), hit.alias("hits"))
+    p = F.col("hits") / F.col("n")
+    return law.join(judged, ["task", "run"]).select(
+        "task", "run", "replicates", "n", F.col("least").alias("least_drawn"), F.col("most").alias("most_drawn"),
+        F.round(p, 9).alias("accuracy"), (p.between(F.col("low"), F.col("high"))).alias("inside"),
+        (F.col("spread") * F.col("n") / (p * (1 - p))).between(2 / 3, 4 / 3).alias("spread_fits"),
+    )
+
+
 @register
 def paired_cells(spark, sf_dir):
     deltas = resample.paired_deltas(

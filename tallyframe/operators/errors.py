@@ -55,10 +55,10 @@ def errors_by_confidence(predictions: DataFrame, k: int | None = None) -> DataFr
 def attach_text(
     found: DataFrame, examples: DataFrame, text: str = "text", key: str = "row_idx"
 ) -> DataFrame:
-    """Add the text of each row by key.
+    """Add the text of each row by key; null where there is no example of that key.
 
     ``found`` is written first: a top-k list is then small enough for the planner
     to broadcast, and the text table is not shuffled.
     """
     texts = examples.select(key, text)
-    return settle(found, "errors").join(texts, key, "inner")
+    return settle(found, "errors").join(texts, key, "left")

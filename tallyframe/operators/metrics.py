@@ -112,6 +112,8 @@ def classification_report(
 ) -> DataFrame:
     """Class rows of the whole encoder plus accuracy, macro and weighted averages.
 
+    A class of the data that the encoder lacks has a row too, with its number as label.
+
     The accuracy row repeats its value in every column, as report files do.
     Averages cover the classes present in the data.
     """
@@ -119,10 +121,10 @@ def classification_report(
     names = encoder.select("task", F.col("class_id").alias("class"), "class_name")
     grid = scores.select(*by).distinct().join(names, "task")
     figures = ("precision", "recall", "f1", "support")
-    class_rows = grid.join(scores, [*by, "class"], "left").select(
+    class_rows = grid.join(scores, [*by, "class"], "full").select(
         *by,
         F.col("class").alias("position"),
-        F.col("class_name").alias("label"),
+        F.coalesce("class_name", F.col("class").cast("string")).alias("label"),
         *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in figures),
     )
     rows = F.array(

@@ -9,8 +9,8 @@ Two ways to draw the counts, with the same law:
 
 ``cells``
     Multinomial counts over the profiles.  The cost per replicate is the number
-    of distinct profiles, whatever the number of rows.  Profiles are dealt into
-    blocks; a replicate first divides its draws over the blocks and then inside
+    of distinct profiles, which with many runs comes near the number of rows.  Profiles are
+    dealt into blocks; a replicate divides its draws over the blocks by halves and then inside
     each block, so no task ever holds all profiles.
 ``hash``
     One keyed hash per draw, reproducible in any SQL engine.  The cost is
@@ -34,11 +34,11 @@ NO_RUN = -2
 ALL_TASKS = "*"
 MEAN_TASK = "Mean macro-F1"
 
-_PROFILES_PER_BLOCK = 20_000
+_PROFILES_PER_BLOCK = 4096
 _REPLICATES_PER_CHUNK = 25
 _DRAWS_PER_CHUNK = 4096
 _DRAWS_PER_TASK = 2_000_000
-_BROADCAST_PROFILES = 500_000
+_BROADCAST_BYTES = 10 << 20
 
 _DRAWN = "slot int, b int, member int, y_true int, y_pred int, n bigint"
 
@@ -50,7 +50,7 @@ def align_runs(
 
     ``scope`` is the task, or ``*`` when ``joint`` puts all tasks of an example
     into one profile.  A run twice for an example, or disagreeing truths, fail
-    the job.
+    the job; examples without any truth are left out, as they are not judged.
     """
     chosen = predictions.where(F.col("task").isin(list(tasks)) & F.col("run").isin(list(runs)))
     answer = F.coalesce(F.col("y_pred").cast("int"), F.lit(NO_PREDICTION))
@@ -60,7 +60,7 @@ def align_runs(
         F.max("y_true").alias("highest"),
         F.count("y_true").alias("rows"),
         *votes,
-    )
+    ).where("rows > 0")
     present = sum((F.col(f"p{i}").isNotNull().cast("int") for i in range(len(runs))), F.lit(0))
     sound = (F.col("lowest") == F.col("highest")) & (F.col("rows") == present)
     truth = F.when(sound, F.col("lowest").cast("int")).otherwise(
@@ -227,8 +227,9 @@ def _hash_cells(
     )
     draws = draws.select("slot", "b", "at", _one_key("slot", "bucket").alias("key"))
     # The planner cannot see how far the draws unfold and would broadcast *them*.
-    # There are at most five spans per profile, and the profiles were just counted.
-    small = profiles_held <= _BROADCAST_PROFILES
+    # There are at most five spans per profile, and the profiles were just counted, so the bytes are known.
+    row_bytes = 5 * 48 + 8 * (len(runs) + 1) * (len(tasks) if joint else 1)
+    small = profiles_held * row_bytes <= _BROADCAST_BYTES
     counts = (
         draws.join(spans.hint("broadcast" if small else "merge"), "key")
         .where("at >= lo AND at < hi")
@@ -274,6 +275,32 @@ def _one_key(slot: str, number: str) -> Column:
     return F.coalesce(F.shiftleft(F.col(slot).cast("bigint"), 40) + F.col(number), F.lit(-1))
 
 
+def _block_paths(dealt: DataFrame) -> DataFrame:
+    """(of_scope, of_block, path): per level of the binary tree of blocks, the rows left and in all below the node above.
+
+    Each block knows the sums along its own way from the root only, one pair per level.
+    """
+    sums = dealt.groupBy("scope", "levels", "block").agg(F.sum("n").alias("m"))
+    nodes = (
+        sums.select("scope", "levels", "block", "m", F.explode(F.expr("sequence(0, levels)")).alias("level"))
+        .groupBy("scope", "level", F.expr("shiftright(block, levels - level)").alias("node"))
+        .agg(F.sum("m").alias("sum"))
+    )
+    steps = sums.select(
+        "scope", "block", F.explode_outer(F.expr("if(levels > 0, sequence(1, levels), null)")).alias("level"), "levels"
+    ).select("scope", "block", "level", F.expr("shiftright(block, levels - level)").alias("at"))
+    above = nodes.select("scope", (F.col("level") + 1).alias("level"), F.col("node").alias("upper"), F.col("sum").alias("whole"))
+    left = nodes.where("node % 2 = 0").select("scope", "level", F.shiftright("node", 1).alias("upper"), F.col("sum").alias("left"))
+    found = (
+        steps.withColumn("upper", F.shiftright("at", 1))
+        .join(above, ["scope", "level", "upper"], "left")
+        .join(left, ["scope", "level", "upper"], "left")
+    )
+    step = F.struct("level", "at", F.coalesce("left", F.lit(0)).cast("bigint").alias("left"), F.col("whole").cast("bigint").alias("whole"))
+    path = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), step))).alias("path")
+    return found.groupBy(F.col("scope").alias("of_scope"), F.col("block").alias("of_block")).agg(path)
+
+
 def _multinomial_cells(
     profiles: DataFrame,
     tasks: Sequence[str],
@@ -283,16 +310,22 @@ def _multinomial_cells(
     joint: bool,
     per_block: int,
 ) -> DataFrame:
-    """Multinomial draws, reduced to confusion counts inside each (block, chunk) group."""
-    sizes = {r["scope"]: r["t"] for r in
-             profiles.groupBy("scope").agg(F.count("*").alias("t")).collect()}
-    blocks = max(1, -(-max(sizes.values(), default=1) // per_block))
-    dealt = profiles.withColumn(
-        "block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
+    """Multinomial draws, reduced to confusion counts inside each block.
+
+    A replicate's draws are divided over the blocks by halves of a binary tree: the draw at a node
+    is keyed by seed, scope and node, so every block below it finds the same numbers, and a
+    block needs one draw per level instead of one per other block.  Nothing depends on other scopes.
+    """
+    sizes = {
+        r["scope"]: (r["t"], r["m"])
+        for r in profiles.groupBy("scope").agg(F.count("*").alias("t"), F.sum("n").alias("m")).collect()
+    }
+    totals = {s: m for s, (_, m) in sizes.items()}
+    levels = {s: (max(1, -(-t // per_block)) - 1).bit_length() for s, (t, _) in sizes.items()}
+    known = F.create_map(*(F.lit(v) for pair in levels.items() for v in pair)) if levels else F.create_map().cast("map<string,int>")
+    dealt = profiles.withColumn("levels", known[F.col("scope")]).withColumn(
+        "block", F.expr("cast(pmod(xxhash64(code), shiftleft(1L, levels)) as int)")
     )
-    shares: dict[str, list[int]] = {s: [0] * blocks for s in sizes}
-    for row in dealt.groupBy("scope", "block").agg(F.sum("n").alias("m")).collect():
-        shares[row["scope"]][row["block"]] = row["m"]
     width = len(runs) + 1
     # Tasks of a profile, each with the place of its truth in the code.
     slots = {
@@ -300,28 +333,49 @@ def _multinomial_cells(
         for s in sizes
     }
 
-    def draw(key, table):
+    def draw(key, table, path):
         import numpy as np
         import pyarrow as pa
 
-        scope, block, chunk = (v.as_py() for v in key)
+        scope, block = (v.as_py() for v in key)
         flat = np.concatenate([c.flatten() for c in table.column("code").chunks])
         code = flat.reshape(table.num_rows, -1).astype("int64")
         n = np.asarray(table.column("n"), dtype="int64")
         order = np.lexsort(code.T[::-1])
         code, n = code[order], n[order]
         mark = zlib.crc32(scope.encode())
-        share = np.asarray(shares[scope], dtype="int64")
-        whole = int(share.sum())
-        first = chunk * _REPLICATES_PER_CHUNK
-        numbers = np.arange(first, min(first + _REPLICATES_PER_CHUNK, replicates))
-        drawn = np.empty((len(numbers), len(n)), dtype="int64")
-        for i, b in enumerate(numbers):
-            mine = np.random.default_rng([seed, mark, int(b)]).multinomial(whole, share / whole)
-            inner = np.random.default_rng([seed, mark, int(b), block + 1])
-            drawn[i] = inner.multinomial(int(mine[block]), n / n.sum())
+        mine = np.full(replicates, totals[scope], dtype="int64")
+        for step in path.column("path")[0].as_py():
+            level, at = step["level"], step["at"]
+            toss = np.random.default_rng([seed, mark, level, at >> 1])
+            to_left = toss.binomial(mine, step["left"] / step["whole"])
+            mine = mine - to_left if at % 2 else to_left
         parts = []
-        for slot, start in slots[scope]:
+        for first in range(0, replicates, _REPLICATES_PER_CHUNK):
+            numbers = np.arange(first, min(first + _REPLICATES_PER_CHUNK, replicates))
+            drawn = np.empty((len(numbers), len(n)), dtype="int64")
+            for i, b in enumerate(numbers):
+                inner = np.random.default_rng([seed, mark, int(b), block, 1 << 20])
+                drawn[i] = inner.multinomial(int(mine[b]), n / n.sum())
+            parts += reduced(code, drawn, numbers, slots[scope])
+        slot, b, member, y_true, y_pred, n = np.concatenate(parts or [np.empty((6, 0), int)], axis=1)
+        return pa.table(
+            {
+                "slot": pa.array(slot, pa.int32()),
+                "b": pa.array(b, pa.int32()),
+                "member": pa.array(member, pa.int32()),
+                "y_true": pa.array(y_true, pa.int32()),
+                "y_pred": pa.array(y_pred, pa.int32(), mask=y_pred < 0),
+                "n": pa.array(n, pa.int64()),
+            }
+        )
+
+    def reduced(code, drawn, numbers, places):
+        """The draws of profiles as counts of (slot, replicate, run, truth, answer)."""
+        import numpy as np
+
+        parts = []
+        for slot, start in places:
             truth = code[:, start]
             for member in range(len(runs)):
                 answer = code[:, start + 1 + member]
@@ -333,42 +387,38 @@ def _multinomial_cells(
                 distinct, starts = np.unique(pair[by_pair], return_index=True)
                 sums = np.add.reduceat(drawn[:, by_pair], starts, axis=1)
                 at, cell = np.nonzero(sums)
-                parts.append(
-                    np.stack(
-                        [
-                            np.full(len(at), slot),
-                            numbers[at],
-                            np.full(len(at), member),
-                            distinct[cell] // base,
-                            distinct[cell] % base - 1,
-                            sums[at, cell],
-                        ]
-                    )
+                rows = (
+                    np.full(len(at), slot), numbers[at], np.full(len(at), member),
+                    distinct[cell] // base, distinct[cell] % base - 1, sums[at, cell],
                 )
-        slot, b, member, y_true, y_pred, n = np.concatenate(parts or [np.empty((6, 0), int)], axis=1)
-        return pa.table(
-            {
-                "slot": pa.array(slot, pa.int32()),
-                "b": pa.array(b, pa.int32()),
-                "member": pa.array(member, pa.int32()),
-                "y_true": pa.array(y_true, pa.int32()),
-                "y_pred": pa.array(y_pred, pa.int32(), mask=y_pred < 0),
-                "n": pa.array(n, pa.int64()),
-            }
-        )
+                parts.append(np.stack(rows))
+        return parts
 
-    chunks = -(-replicates // _REPLICATES_PER_CHUNK)
-    spread = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    # One task per group up to a few thousand; adaptive merging would put all in one.
-    groups = min(len(sizes) * blocks * chunks, 4096)
+    # Adaptive merging would put many blocks into one task; each is a good deal of work.
+    shuffled = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks_wanted = max(1, min(sum(1 << v for v in levels.values()), max(shuffled, sum(1 << v for v in levels.values()) // 16)))
+    blocks = dealt.select("scope", "block", "code", "n").repartition(tasks_wanted, "scope", "block")
     cells = (
-        spread.repartition(max(groups, 1), "scope", "block", "chunk")
-        .groupBy("scope", "block", "chunk")
+        blocks.groupBy("scope", "block")
+        .cogroup(_block_paths(dealt).groupBy("of_scope", "of_block"))
         .applyInArrow(draw, _DRAWN)
     )
     return cells.groupBy("slot", "b", "member", "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
+def replicate_counts(
+    predictions: DataFrame, tasks: Sequence[str], runs: Sequence[str], replicates: int = 1000, seed: int = 0,
+    joint: bool = False, profiles_per_block: int = _PROFILES_PER_BLOCK,
+) -> DataFrame:
+    """Confusion counts of every run on every replicate: ``(task, b, run, y_true, y_pred, n)``."""
+    profiles = profile_counts(predictions, tasks, runs, joint)
+    cells = _multinomial_cells(profiles, tasks, runs, replicates, seed, joint, profiles_per_block)
+    return cells.select(
+        F.get(F.array(*map(F.lit, tasks)), F.col("slot")).alias("task"), "b",
+        F.get(F.array(*map(F.lit, runs)), F.col("member")).alias("run"), "y_true", "y_pred", "n",
+    )
+
+
 def replicate_scores(
     predictions: DataFrame,
     tasks: Sequence[str],
@@ -463,7 +513,7 @@ def paired_deltas(
         return deltas
     draws = deltas.groupBy("b").agg(
         F.collect_list(F.struct("task", "delta")).alias("tasks"),
-        F.struct(F.lit(MEAN_TASK).alias("task"), F.avg("delta").alias("delta")).alias("mean"),
+        F.struct(F.lit(MEAN_TASK).alias("task"), (F.round(F.avg("delta"), 12) + F.lit(0.0)).alias("delta")).alias("mean"),
     )
     return draws.select("b", F.explode(F.array_append("tasks", F.col("mean"))).alias("d")).select(
         "d.task", "b", "d.delta"

@@ -120,8 +120,13 @@ def epoch_loss(batches: DataFrame) -> DataFrame:
     )
 
 
+def _without_nan(history: DataFrame, metric: str) -> DataFrame:
+    return history.withColumn(metric, F.when(~F.isnan(metric), F.col(metric)))
+
+
 def best_epoch(history: DataFrame, metric: str = "val_mean_f1") -> DataFrame:
-    """The first epoch that reaches each run's highest value (it must exceed 0)."""
+    """The first epoch that reaches each run's highest value (it must exceed 0; NaN never counts)."""
+    history = _without_nan(history, metric)
     top = F.max(F.struct(F.col(metric).alias("value"), (-F.col("epoch")).alias("back")))
     return (
         history.where(F.col(metric) > 0)
@@ -137,9 +142,10 @@ def early_stopping(
     """Replay the stopping rule: each epoch's running best, patience used and stop mark.
 
     An epoch improves when it beats every earlier one (and 0); training stops at
-    the first epoch that is ``patience`` epochs past the last improvement.  The
-    windows run over the epochs of one run.
+    the first epoch that is ``patience`` epochs past the last improvement.  NaN is
+    no improvement and shows as null.  The windows run over the epochs of one run.
     """
+    history = _without_nan(history, metric)
     order = Window.partitionBy("run").orderBy("epoch")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

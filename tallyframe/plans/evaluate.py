@@ -22,9 +22,12 @@ def evaluate_scores(
 ) -> dict[str, DataFrame]:
     """Score all heads, join the truth ``(key, task, y_true)`` and count.
 
+    A judged row without a score is a null prediction, and so a wrong one.
+
     Returns ``predictions`` (lazy), ``cells`` (settled) and ``metrics``.
     """
     scored = predict(score_heads(vectors, vec_col, heads, keep=[key]))
-    predictions = scored.select(key, "task", "y_pred", "confidence").join(truth, [key, "task"])
+    answers = scored.select(key, "task", "y_pred", "confidence")
+    predictions = truth.join(answers, [key, "task"], "left")
     cells = settle(confusion_cells(predictions, by), "cells")
     return {"predictions": predictions, "cells": cells, "metrics": task_metrics(cells, by)}

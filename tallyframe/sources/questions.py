@@ -24,7 +24,8 @@ def read_questions(
 ) -> DataFrame:
     """CSV with a header, quoted line breaks, doubled quotes and an optional BOM.
 
-    All columns are text; the header decides their order.  A file with quoted line
+    All columns are text; the header decides their order, and a file whose header
+    differs from the first one's fails the job.  A file with quoted line
     breaks cannot be cut into ranges, so a large table should come as many files:
     each is one task.
     """
@@ -35,6 +36,7 @@ def read_questions(
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .csv(path)
     )
     missing = [c for c in wanted if c not in raw.columns]
@@ -62,11 +64,20 @@ def read_split(
     text_col: str = "text",
     key: str | None = "row_idx",
     suffix: str = "_encoded",
+    fmt: str = "parquet",
 ) -> DataFrame:
     """One split: the text and the encoded labels of the active tasks only.
 
     The split is a partition folder and the projection reaches the scan, so
-    neither other splits nor inactive tasks are read.
+    neither other splits nor inactive tasks are read.  ``fmt="csv"`` reads what
+    ``write_splits`` wrote as CSV; labels are integers then too.
     """
     columns = [*([key] if key else []), text_col, *(f"{t}{suffix}" for t in tasks)]
-    return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
+    if fmt == "parquet":
+        return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
+    found = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+        .csv(path).where(F.col("split") == split)
+    )
+    types = {**({key: "bigint"} if key else {}), text_col: "string"}
+    return found.select(*(F.col(c).cast(types.get(c, "int")).alias(c) for c in columns))

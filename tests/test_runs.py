@@ -41,19 +41,6 @@ def history(table, **curves):
     return table("run string, epoch int, val_mean_f1 double", *rows)
 
 
-def replay(values, patience):
-    """The stopping rule as a loop."""
-    best, left, best_at = 0.0, patience, None
-    for epoch, v in enumerate(values, start=1):
-        if v > best:
-            best, left, best_at = v, patience, epoch
-        else:
-            left -= 1
-            if left <= 0:
-                return epoch, best_at
-    return None, best_at
-
-
 CURVES = {
     **{name: curve for name, (_, _, curve) in PUBLISHED.items()},
     "rising": [0.1, 0.2, 0.3],
@@ -64,12 +51,26 @@ CURVES = {
 }
 
 
-def test_stopping_rule_is_the_loop(table):
+# (epoch of the stop, best epoch before it) with patience 5, worked out by hand.
+STOPS = {
+    "rising": (None, 3),
+    "flat": (6, 1),
+    "zero": (5, None),
+    "late": (None, 6),
+    "stopped_before_peak": (6, 1),
+}
+
+
+def test_stops_and_best_epochs(table):
     got = {r.run: (r.stop_epoch, r.best_epoch) for r in stopping_summary(history(table, **CURVES), 5).collect()}
-    assert got == {run: replay(values, 5) for run, values in CURVES.items()}
-    for name, (stopped, best, _) in PUBLISHED.items():
-        assert got[name] == (stopped, best)
-    assert got["stopped_before_peak"] == (6, 1)
+    assert got == STOPS | {name: (stopped, best) for name, (stopped, best, _) in PUBLISHED.items()}
+
+
+def test_nan_is_no_improvement(table):
+    curves = history(table, a=[0.5, float("nan"), 0.6], b=[float("nan")] * 6)
+    assert {r.run: r.best_epoch for r in best_epoch(curves).collect()} == {"a": 3}
+    got = {r.run: (r.stop_epoch, r.best_epoch) for r in stopping_summary(curves, 5).collect()}
+    assert got == {"a": (None, 3), "b": (5, None)}
 
 
 def test_only_one_stop_mark_and_first_maximum(table):

@@ -48,7 +48,7 @@ def test_draws_without_broadcast_are_the_same_draws(spark, monkeypatch):
         (F.col("id") % 3).cast("int").alias("y_true"), (F.col("id") % 4).cast("int").alias("y_pred"),
     )
     sent = resample.replicate_scores(rows, ["t"], ["r"], 10, 1, "hash").orderBy("b").collect()
-    monkeypatch.setattr(resample, "_BROADCAST_PROFILES", 0)
+    monkeypatch.setattr(resample, "_BROADCAST_BYTES", 0)
     scores = resample.replicate_scores(rows, ["t"], ["r"], 10, 1, "hash")
     assert "SortMergeJoin" in scores._jdf.queryExecution().executedPlan().toString()
     assert scores.orderBy("b").collect() == sent
