@@ -163,26 +163,69 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _common_start(a: Column, b: Column, limit: Column) -> Column:
+    """Length of the longest common start, at most ``limit``: steps of falling powers of two."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    powers = F.concat(F.array_repeat(F.lit(1 << 21), F.floor(limit / (1 << 21)).cast("int")), steps)
+    longer = lambda at, k: (at + k <= limit) & (F.substring(a, at + 1, k) == F.substring(b, at + 1, k))
+    return F.aggregate(powers, F.lit(0), lambda at, k: F.when(longer(at, k), at + k).otherwise(at))
+
+
+def _within(a: Column, b: Column, edits: int) -> Column:
+    """Whether the edit distance is at most ``edits`` (1 or 2).
+
+    Equal starts and ends do not count.  What is left begins and ends with an edit; with two edits in all, what
+    is between them is the same in both, which a search finds before the matrix is run.
+    """
+
+    def middles(ends: Column) -> Column:
+        start, rest_a = ends["start"], F.length(a) - ends["start"] - ends["end"]
+        inner = F.contains(F.substring(b, start + 1, F.length(b) - start - ends["end"]), F.substring(a, start + 2, F.greatest(rest_a - 2, F.lit(0))))
+        likely = (rest_a <= 1) if edits == 1 else inner
+        left = F.greatest(start - (edits + 2), F.lit(0))
+        right = F.greatest(ends["end"] - (edits + 2), F.lit(0))
+        part = lambda x: F.substring(x, left + 1, F.length(x) - left - right)
+        return likely & (edit_distance(part(a), part(b), edits) <= edits)
+
+    def with_end(start: Column) -> Column:
+        shorter = F.least(F.length(a), F.length(b)) - start
+        return _let(F.struct(start.alias("start"), _common_start(F.reverse(a), F.reverse(b), shorter).alias("end")), middles)
+
+    return _let(_common_start(a, b, F.least(F.length(a), F.length(b))), with_end)
+
+
 def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of ``lines`` (node, line): distinct lines within the allowed edits."""
+    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line) within the allowed edits."""
     line, length = F.col("line"), F.length("line")
-    index = lines.select("node", F.explode(_index_keys(line, length)).alias("key"))
-    probe = lines.select(F.col("node").alias("other"), F.explode(_probe_keys(line, length)).alias("key"))
-    met = index.join(probe, "key").where("node <> other")
-    pairs = settle(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "line-pairs")
-    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    index = lines.select("h1", F.explode(_index_keys(line, length)).alias("key"))
+    probe = lines.select(F.col("h1").alias("other"), F.explode(_probe_keys(line, length)).alias("key"))
+    met = index.join(probe, "key").where("h1 <> other")
+    pairs = settle(met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct(), "line-pairs")
+    nodes = settle(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "paired-lines")
     blocks = bloom.blocks_for(nodes.count())
-    texts = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("node"))).select("node", "line")
-    texts = settle(texts.join(nodes, F.col("node") == F.col("key"), "left_semi"), "pair-lines")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b"
-    )
+    texts = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("h1")))
+    texts = settle(texts.join(nodes, F.col("h1") == F.col("key"), "left_semi"), "pair-lines")
+    side = lambda x: texts.select(F.col("h1").alias(x), F.col("h1").alias(f"h1{x}"), F.col("h2").alias(f"h2{x}"), F.col("line").alias(f"l{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     close = F.lit(False)
     for _, edits in EDITS:
         limit = allowed(F.least(F.length("la"), F.length("lb"))) == edits
         near = (F.abs(F.length("la") - F.length("lb")) <= edits) & _pieces_in_common(F.col("la"), F.col("lb"), edits)
-        close = F.when(limit, near & (edit_distance(F.col("la"), F.col("lb"), edits) <= edits)).otherwise(close)
-    return settle(both.where(close).select("a", "b"), "line-links")
+        close = F.when(limit, near & _within(F.col("la"), F.col("lb"), edits)).otherwise(close)
+    return settle(both.where(close).select("h1a", "h2a", "h1b", "h2b"), "line-links")
+
+
+def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h1, h2, line) of every distinct line once.
+
+    A line that the filter of the repeated ones lets go is there once and is taken as it is; only the others are
+    gathered by their hashes, combined before the shuffle.
+    """
+    again = lines.where("n > 1").select(F.col("h1").alias("key"))
+    blocks = bloom.blocks_for(again.count())
+    repeated = bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
+    gathered = found.where(repeated).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    return found.where(~repeated).select("h1", "h2", "line").unionByName(settle(gathered, "repeated-lines"))
 
 
 def find_duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -190,12 +233,13 @@ def find_duplicate_lines(docs: DataFrame) -> DataFrame:
     found = _lines(docs)
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2", "pos")
     lines = settle(
-        found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("line").alias("line"))
-        .withColumn("node", F.monotonically_increasing_id()),
+        found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()),
         "lines",
     )
-    labels = components(line_pairs(lines.select("node", "line")))
-    named = lines.select("node", "h1", "h2", "n", "place").join(labels.withColumnRenamed("vertex", "node"), "node", "left")
+    links = line_pairs(_distinct_texts(found, lines))
+    node = lambda x: lines.select(F.col("h1").alias(f"h1{x}"), F.col("h2").alias(f"h2{x}"), F.col("node").alias(x))
+    labels = components(links.join(node("a"), ["h1a", "h2a"]).join(node("b"), ["h1b", "h2b"]))
+    named = lines.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
     firsts = named.where("label is not null").groupBy("label").agg(F.min("place").alias("first"))
     classes = named.join(firsts, "label", "left").where("n > 1 or label is not null").select(
         "h1", "h2", F.coalesce("first", "place").alias("stays")
