@@ -500,7 +500,7 @@ def significance_text(spark, sf_dir):
 @register
 def bootstrap_cells(spark, sf_dir):
     table = resample.bootstrap_ci(
-        order_predictions(spark, sf_dir), ["status", "priority"], I.MULTI, REPLICATES
+        order_predictions(spark, sf_dir), ["status", "priority"], I.MULTI
     )
     return rounded(table, "mean", "low", "high")
 
@@ -532,7 +532,7 @@ def bootstrap_law(spark, sf_dir):
 @register
 def paired_cells(spark, sf_dir):
     deltas = resample.paired_deltas(
-        order_predictions(spark, sf_dir), ["status", "priority"], I.MULTI, I.SINGLE, REPLICATES,
+        order_predictions(spark, sf_dir), ["status", "priority"], I.MULTI, I.SINGLE,
         across_tasks=True,
     )
     return rounded(resample.compare_paired(deltas), *PAIRED)
@@ -660,9 +660,32 @@ def regularised_loss(spark, sf_dir):
 
 @register
 def fit_heads(spark, sf_dir):
+    """Heads of all three tasks, trained with class weights: what holds of them whatever the optimiser's digits."""
     rows = vectors(spark, sf_dir)
-    heads = scoring.fit_heads(rows, "embedding", {"two": "two", "three": "three"}, max_iter=20)
-    return heads.select("task", "class_id", F.size("weight").alias("dims"), r9("bias").alias("bias"))
+    weights = train_weights(spark, sf_dir)
+    heads = scoring.fit_heads(rows, "embedding", HEAD_TASKS, class_weights=weights)
+    truth = (
+        F.when(F.col("task") == "two", F.col("label") % 2)
+        .when(F.col("task") == "three", F.col("label") % 3)
+        .otherwise(F.col("label"))
+    )
+    logits = scoring.score_heads(rows, "embedding", heads, ["row_idx", "label"]).withColumn("y_true", truth)
+    losses = scoring.row_losses(logits, weights=weights).groupBy("task").agg(F.avg("ce").alias("loss"))
+    zero = F.transform("logits", lambda _: F.lit(0.0))
+    untrained = scoring.row_losses(logits.withColumn("logits", zero), weights=weights).groupBy("task").agg(F.avg("ce").alias("before"))
+    sums = heads.groupBy("task").agg((F.abs(F.sum("bias")) < 1e-6).alias("biases_cancel"))
+    return (
+        heads.select("task", "class_id", F.size("weight").alias("dims"))
+        .join(sums, "task").join(losses, "task").join(untrained, "task")
+        .select("task", "class_id", "dims", "biases_cancel", (F.col("loss") < F.col("before")).alias("learned"))
+    )
+
+
+@register
+def mean_losses(spark, sf_dir):
+    """Losses of two passes, here with two focal exponents, averaged per task."""
+    first, second = (scoring.focal_loss(scored(spark, sf_dir), gamma) for gamma in (2.0, 5.0))
+    return scoring.mean_losses(first, second).withColumn("loss", F.round("loss", 6) + F.lit(0.0))
 
 
 # --- sources and sinks -----------------------------------------------------------

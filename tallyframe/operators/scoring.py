@@ -191,6 +191,11 @@ def symmetric_kl(
     return both.groupBy("task").agg(F.avg(term).alias("kl"), F.count("*").alias("n"))
 
 
+def mean_losses(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Task losses ``(task, loss)`` of two passes over the same rows, averaged; combine them afterwards."""
+    return first.select("task", "loss").unionByName(second.select("task", "loss")).groupBy("task").agg(F.avg("loss").alias("loss"))
+
+
 def regularised_loss(combined: DataFrame, kl: DataFrame, alpha: float) -> DataFrame:
     """Combined loss plus ``alpha`` times the divergences summed over the tasks."""
     parts = combined.select("total_loss").unionByName(
@@ -206,14 +211,23 @@ def fit_heads(
     weights: dict[str, str] | None = None,
     max_iter: int = 50,
     reg_param: float = 0.01,
+    class_weights: DataFrame | None = None,
 ) -> DataFrame:
     """Train one multinomial linear head per task on a fixed vector column.
 
     ``labels`` maps a task to its class-id column and ``weights`` a task to its
-    row-weight column.  The rows are prepared once and kept for all tasks; the
+    row-weight column; ``class_weights`` has one list of weights per task in class
+    order (:func:`weight_arrays`) for the tasks without such a column.  The rows are prepared once and kept for all tasks; the
     objective is cross entropy (Spark's trainer has no focal term).
     """
-    weights = weights or {}
+    weights = dict(weights or {})
+    if class_weights is not None:
+        lists = settle(class_weights, "class-weights")
+        for task, column in labels.items():
+            if task not in weights:
+                weights[task] = f"_weight_{task}"
+                known = lists.where(F.col("task") == task).select("weights").scalar()
+                df = df.withColumn(weights[task], F.coalesce(F.get(known, F.col(column).cast("int")), F.lit(1.0)))
     extra = sorted(set(labels.values()) | set(weights.values()))
     rows = df.where(F.col(vec_col).isNotNull()).select(
         array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"),
