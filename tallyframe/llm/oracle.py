@@ -50,7 +50,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+QUALITY_RULES = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM base),
+sizes(n, most) AS (VALUES (3, NULL), (5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)),
+keyed AS (
+  SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM base), sizes WHERE k + n - 1 <= len(w)),
+grams AS (
+  SELECT doc_id, n, k, count(*) OVER (PARTITION BY doc_id, n, gram) AS times, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY k) AS nth
+  FROM keyed),
+covered AS (SELECT DISTINCT doc_id, n, unnest(range(k, k + n)) AS k FROM grams WHERE times > 1 AND (n = 3 OR nth > 1)),
+cover AS (SELECT doc_id, n, count(*) AS words, sum(length(word)) AS chars FROM covered JOIN places USING (doc_id, k) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM (
+    SELECT doc_id, k, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM base))
+  WHERE chars > 0),
+per_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE nth > 1) AS dup, coalesce(sum(chars) FILTER (WHERE nth > 1), 0) AS dup_chars
+  FROM lines GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce((SELECT words FROM cover c WHERE c.doc_id = base.doc_id AND c.n = 3), 0)::BIGINT AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars
+  FROM base LEFT JOIN per_line USING (doc_id)),
+bad_grams AS (
+  SELECT DISTINCT doc_id FROM cover JOIN sizes USING (n) JOIN counts USING (doc_id) WHERE 100 * chars > most * word_chars),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * dup_chars > 20 * word_chars
+            OR doc_id IN (SELECT doc_id FROM bad_grams)) AS kept
+FROM judged
+"""
+
 ORACLE = {
+    "op2_quality_rules": QUALITY_RULES,
     "op9_benchmark_hits": BENCHMARK_HITS,
     "op1_url_filter": URL_FILTER,
 }

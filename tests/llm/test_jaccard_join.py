@@ -56,7 +56,7 @@ def near_copies(seed, groups=4, copies=14):
     return [(i if i % 11 else i // 2, t) for i, t in enumerate(docs, 1)] + [(None, "alone here and null"), (3, docs[5]), (None, "")]
 
 
-@pytest.mark.parametrize("words, percent, tile", [(3, 90, 4096), (5, 80, 3), (1, 50, 4096)])
+@pytest.mark.parametrize("words, percent, tile", [(3, 90, 4096), (5, 80, 3)])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, words, percent, tile):
     monkeypatch.setattr(J, "TILE", tile)
     docs = near_copies(words)

@@ -1,7 +1,7 @@
 from hashlib import sha256
 
 import corpus_pipeline
-from corpus_pipeline import STAGES, run
+from corpus_pipeline import STAGES
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_jaccard_join import classes
 from tests.llm.test_line_dedup import expected
@@ -33,10 +33,6 @@ def test_stages_in_order_by_brute_force(spark, tmp_path):
     assert {r.doc_id: r.decoded_sha256 for r in coded} == {r.doc_id: sha256(r.text.encode()).hexdigest() for r in clean}
 
 
-def test_run_ends_with_the_last_stage(spark):
-    assert run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-
-
 def test_repeated_and_null_rows_pass_the_stages(spark):
     text = "a sentence that says something of its own in many words so that it has shingles"
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (None, text + " and more", "en", "s", 5), (None, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
