@@ -195,8 +195,8 @@ def _within(a: Column, b: Column, edits: int) -> Column:
 
 
 def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line) within the allowed edits."""
-    line, length = F.col("line"), F.length("line")
+    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars) within the allowed edits."""
+    line, length = F.col("line"), F.col("chars")
     index = lines.select("h1", F.explode(_index_keys(line, length)).alias("key"))
     probe = lines.select(F.col("h1").alias("other"), F.explode(_probe_keys(line, length)).alias("key"))
     met = index.join(probe, "key").where("h1 <> other")
@@ -216,7 +216,7 @@ def line_pairs(lines: DataFrame) -> DataFrame:
 
 
 def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, line) of every distinct line once.
+    """(h1, h2, line, chars) of every distinct line once, written: it is read for the index, the probes and the pairs.
 
     A line that the filter of the repeated ones lets go is there once and is taken as it is; only the others are
     gathered by their hashes, combined before the shuffle.
@@ -225,7 +225,8 @@ def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
     blocks = bloom.blocks_for(again.count())
     repeated = bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
     gathered = found.where(repeated).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    return found.where(~repeated).select("h1", "h2", "line").unionByName(settle(gathered, "repeated-lines"))
+    once = found.where(~repeated).select("h1", "h2", "line").unionByName(gathered)
+    return settle(once.withColumn("chars", F.length("line")), "distinct-lines")
 
 
 def find_duplicate_lines(docs: DataFrame) -> DataFrame:
