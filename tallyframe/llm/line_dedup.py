@@ -2,7 +2,7 @@
 
 A line is cut into one segment more than the edits allowed, so an unedited segment survives in any near copy.  Each line
 is indexed by its segments with its length; it probes, for its own and each slightly smaller length, the
-substrings at the few starts that an alignment allows.  Pairs that meet are filtered by the
+substrings at the few starts that an alignment allows.  Pairs that meet are filtered by counts of letters and by the
 pieces they have in common and verified with a banded bit-parallel edit distance.  Linked lines are one class, of which the first
 occurrence stays.
 """
@@ -74,6 +74,27 @@ def _probe_keys(line: Column, length: Column) -> Column:
     return F.flatten(F.array(*groups))
 
 
+# Letters that are counted before lines are paired, eight bits each; any eight would do, frequent ones tell most.
+_LETTERS = "eaionrts"
+
+
+def _letter_counts(line: Column) -> Column:
+    packed = F.lit(0).cast("long")
+    for k, letter in enumerate(_LETTERS):
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter)))).cast("long").bitwiseAND(255)
+        packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
+    return packed
+
+
+def _letters_differ(a: Column, b: Column) -> Column:
+    """A number that no line within ``d`` edits exceeds 2 ``d`` with: each edit changes two counts by one at most."""
+    total = F.lit(0)
+    for k in range(len(_LETTERS)):
+        apart = (F.shiftrightunsigned(a, 8 * k) - F.shiftrightunsigned(b, 8 * k)).bitwiseAND(255)
+        total = total + F.least(apart, F.lit(256) - apart)  # counts are kept modulo 256
+    return total
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -195,11 +216,12 @@ def _within(a: Column, b: Column, edits: int) -> Column:
 
 
 def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars) within the allowed edits."""
+    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars, letters) within the allowed edits."""
     line, length = F.col("line"), F.col("chars")
-    index = lines.select("h1", F.explode(_index_keys(line, length)).alias("key"))
-    probe = lines.select(F.col("h1").alias("other"), F.explode(_probe_keys(line, length)).alias("key"))
-    met = index.join(probe, "key").where("h1 <> other")
+    index = lines.select("h1", "letters", F.explode(_index_keys(line, length)).alias("key"))
+    probe = lines.select(F.col("h1").alias("other"), F.col("letters").alias("others"), F.explode(_probe_keys(line, length)).alias("key"))
+    alike = (F.col("h1") != F.col("other")) & (_letters_differ(F.col("letters"), F.col("others")) <= 2 * MOST)
+    met = index.join(probe, "key").where(alike)
     pairs = settle(met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct(), "line-pairs")
     nodes = settle(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "paired-lines")
     blocks = bloom.blocks_for(nodes.count())
@@ -216,7 +238,7 @@ def line_pairs(lines: DataFrame) -> DataFrame:
 
 
 def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, line, chars) of every distinct line once, written: it is read for the index, the probes and the pairs.
+    """(h1, h2, line, chars, letters) of every distinct line once, written: it is read for the index, the probes and the pairs.
 
     A line that the filter of the repeated ones lets go is there once and is taken as it is; only the others are
     gathered by their hashes, combined before the shuffle.
@@ -226,7 +248,7 @@ def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
     repeated = bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
     gathered = found.where(repeated).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     once = found.where(~repeated).select("h1", "h2", "line").unionByName(gathered)
-    return settle(once.withColumn("chars", F.length("line")), "distinct-lines")
+    return settle(once.withColumns({"chars": F.length("line"), "letters": _letter_counts(F.col("line"))}), "distinct-lines")
 
 
 def find_duplicate_lines(docs: DataFrame) -> DataFrame:

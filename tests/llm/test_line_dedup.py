@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm.line_dedup import _pieces_in_common, _within, dedup_lines, edit_distance
+from tallyframe.llm.line_dedup import _letter_counts, _letters_differ, _pieces_in_common, _within, dedup_lines, edit_distance
 
 
 def distance(a, b):
@@ -88,7 +88,7 @@ def test_edit_distance_and_filter(spark):
     pick = random.Random(9)
     pairs = []
     for _ in range(500):
-        a = "".join(pick.choice("abé") for _ in range(pick.choice([20, 40, 64, 65, 130])))
+        a = "".join(pick.choice("aeé") for _ in range(pick.choice([20, 40, 64, 65, 130, 700])))
         b = list(a)
         for _ in range(pick.choice([0, 1, 2, 3])):
             at = pick.randrange(len(b))
@@ -96,8 +96,9 @@ def test_edit_distance_and_filter(spark):
         pairs.append((a, "".join(b)))
     frame = spark.createDataFrame(pairs, "a string, b string").where("abs(length(a) - length(b)) <= 2")
     a, b = F.col("a"), F.col("b")
-    for r in frame.select("a", "b", edit_distance(a, b, 2).alias("d"), _pieces_in_common(a, b, 2).alias("near"), _within(a, b, 1).alias("one"), _within(a, b, 2).alias("two")).collect():
+    for r in frame.select("a", "b", edit_distance(a, b, 2).alias("d"), _pieces_in_common(a, b, 2).alias("near"), _within(a, b, 1).alias("one"), _within(a, b, 2).alias("two"), _letters_differ(_letter_counts(a), _letter_counts(b)).alias("letters")).collect():
         true = distance(r.a, r.b)
+        assert r.letters <= 2 * true
         assert (r.one, r.two) == (true <= 1, true <= 2)
         assert r.d == true if true <= 2 else r.d > 2
         assert r.near or true > 2
