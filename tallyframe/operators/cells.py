@@ -43,13 +43,14 @@ def confusion_matrix(
     """
     sized = encoder.groupBy("task").agg(F.max("class_id").alias("last"))
     lines = lookup_join(encoder.select("task", F.col("class_id").alias("y_true")), sized, ["task"])
-    grid = lines.select(
-        "task", "y_true", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("y_pred")
-    )
     others = [c for c in by if c != "task"]
     if others:
         cells = settle(cells, "cells")
-        grid = cells.select(*by).distinct().join(grid, "task")
+        lines = cells.select(*by).distinct().join(lines, "task")
+    # Lines meet their runs before they unfold, so the grid is never the side of a join that is sent around.
+    grid = lines.select(
+        *by, "y_true", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("y_pred")
+    )
     keys = [*by, "y_true", "y_pred"]
     counts = cells.where(F.col("y_pred").isNotNull()).select(*keys, "n")
     return grid.join(counts, keys, "left").select(
