@@ -100,6 +100,7 @@ class Encoder:
         self.mark = self._plain([self._MARK])[0]
         if len(self.mark) != 1 or self.cut is None or self.cut.findall("a7!") != ["a", "7", "!"]:
             self.cut = None
+        self.cut_lines = regex.compile(f"{pattern}|\n") if self.cut is not None else None
         self.words, self.parts = _Ids(), _Ids()
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -119,26 +120,36 @@ class Encoder:
         store.add(texts, np.delete(ids, marks), size)
 
     def _learn(self, words: list[str]) -> None:
-        easy, hard = [], []
-        if self.cut is None:
-            hard = words
-        else:
-            for w in words:
-                (easy if (w.isascii() or max(w) < "\u0100") and "<|" not in w else hard).append(w)
+        easy, hard = self._sorted_out(words)
         if hard:
             self._add(self.words, hard)
-        if easy:
-            cut = [self.cut.findall(w.lower()) for w in easy]
-            parts = [p for each in cut for p in each]
-            new = set(parts).difference(self.parts.index)
-            plain = [p for p in new if self._MARK not in p]
-            if plain:
-                self._add_marked(self.parts, plain)
-            if len(plain) < len(new):
-                self._add(self.parts, list(new.difference(plain)))
-            ids, size = self.parts.of(parts)
-            owner = np.repeat(np.arange(len(easy)), [len(each) for each in cut])
-            self.words.add(easy, ids, np.bincount(owner, size, minlength=len(easy)).astype(np.int64))
+        if not easy:
+            return
+        # One search over all words; the line feeds in between are found too and show where a word ends.
+        parts = self.cut_lines.findall("\n".join(easy).lower() + "\n")
+        if "\n" not in self.parts.index:
+            self.parts.add(["\n"], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
+        new = set(parts).difference(self.parts.index)
+        plain = [p for p in new if self._MARK not in p]
+        if plain:
+            self._add_marked(self.parts, plain)
+        if len(plain) < len(new):
+            self._add(self.parts, list(new.difference(plain)))
+        ids, size = self.parts.of(parts)
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, parts), dtype=bool, count=len(parts)))
+        self.words.add(easy, ids, np.diff(np.cumsum(size)[ends], prepend=0))
+
+    def _sorted_out(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """(words of Latin letters only, all others): what lower-casing here may and may not be done to."""
+        if self.cut is None:
+            return [], words
+        joined = "\n".join(words)
+        if "<|" not in joined and (joined.isascii() or max(joined) < "\u0100"):
+            return words, []
+        easy, hard = [], []
+        for w in words:
+            (easy if (w.isascii() or max(w) < "\u0100") and "<|" not in w else hard).append(w)
+        return easy, hard
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; tokens per text)."""
