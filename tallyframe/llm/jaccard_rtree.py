@@ -116,8 +116,24 @@ def _points(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<i4").reshape(-1, GROUPS)
 
 
+def _named_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, f1, f2) of every row; ``f1``, ``f2`` are a 128-bit fingerprint of the set."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = S.texts_of(batch.column(1))
+            for lo, hi in S.chunks(texts):
+                sets = shingle_sets(texts[lo:hi], words)
+                f1, f2 = zip(*map(fingerprint, sets))
+                columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], f1, f2))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select("id", "text").mapInArrow(run, schema)
+
+
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, keys, point, fine) of every row; ``f1``, ``f2`` are a 128-bit fingerprint of the set."""
+    """(id, n, f1, f2, keys, point, fine) of every row: its fingerprint, blocks and points."""
     schema = T.StructType(
         [T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
          T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())]
@@ -332,15 +348,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     compared by 64-bit, whole sets by 128-bit hashes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = settle(_signatures(rows, words, percent), "signatures")
     nodes = settle(
-        signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+        _signatures(rows, words, percent).where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("fine").alias("fine"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = settle(keyed.join(shared, "key"), "members")
+    # Most keys are those of one set only; a filter of the others keeps them out of the second exchange.
+    shared = settle(shared, "shared-keys")
+    blocks = bloom.blocks_for(shared.count())
+    likely = keyed.where(bloom.may_contain(bloom.bloom_words(shared, blocks), blocks, F.col("key")))
+    members = settle(likely.join(shared, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     pivots = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
     chosen = members.join(pivots, "key").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("pivot"))
@@ -358,7 +377,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     classes = nodes.select("f1", "f2", "node", "rep").join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = classes.join(smallest, "label").select("f1", "f2", "node", "component_id")
-    return signed.select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(
+    return _named_sets(rows, words).join(named, ["f1", "f2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("node").alias("set_id"),
