@@ -3,13 +3,14 @@
 A line is cut into one segment more than the edits allowed, so an unedited segment survives in any near copy.  Each line
 is indexed by its segments with its length; it probes, for its own and each slightly smaller length, the
 substrings at the few starts that an alignment allows.  Pairs that meet are filtered by counts of letters and by the
-pieces they have in common and verified with a banded bit-parallel edit distance.  Linked lines are one class, of which the first
-occurrence stays.
+pieces they have in common and verified with a banded bit-parallel edit distance.  Lines of many words may also differ in
+whole words, one in twenty: such lines share a run of words, and so the least hash of the shingles in a window
+of that run.  Linked lines are one class, of which the first occurrence stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bloom
@@ -20,6 +21,12 @@ from tallyframe.storage import settle
 EDITS = ((20, 1), (40, 2))
 MOST = max(edits for _, edits in EDITS)
 LEAST_CHARS = EDITS[0][0]
+#: Words of the shorter line to each word that may be added, removed or replaced, however long the lines are.
+WORDS_PER_EDIT = 20
+SHINGLE = 5
+# (words from which the class holds, shingles in a window): with one edit in twenty words, lines of so many share a run of
+# at least 10 and 16 words, that is of 6 and 12 shingles.
+WINDOWS = ((20, 6), (80, 12))
 
 
 def allowed(length: Column) -> Column:
@@ -174,6 +181,73 @@ def _pieces_in_common(a: Column, b: Column, edits: int) -> Column:
     return found >= parts - edits
 
 
+def _words(line: Column) -> Column:
+    return F.split(line, r"\s+")
+
+
+def word_edits(words: Column) -> Column:
+    """Word edits allowed for the shorter line of a pair, which has so many words."""
+    return F.floor(words / WORDS_PER_EDIT).cast("int")
+
+
+def _word_groups(words: Column) -> Column:
+    """Words counted in seven groups by hash, eight bits each; null where a count might not fit."""
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(w), F.lit(7)) * 8).cast("int"))
+    return F.when(F.size(words) < 256, F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + one(w)))
+
+
+def _window_keys(words: Column) -> Column:
+    """The least shingle hash of each window.  Lines at the border of two classes have the keys of both."""
+    count = F.size(words)
+
+    def of(hashes: Column) -> Column:
+        groups = []
+        for k, (least, window) in enumerate(WINDOWS):
+            inside = count >= least
+            if k + 1 < len(WINDOWS):
+                border = WINDOWS[k + 1][0]  # a line over the border can have a partner below it
+                inside = inside & (count < border + border // WORDS_PER_EDIT)
+            mins = F.transform(F.sequence(F.lit(1), F.size(hashes) - window + 1), lambda i, w=window: F.array_min(F.slice(hashes, i, w)))
+            mins = F.array_distinct(mins) if k == 0 else F.transform(F.array_distinct(mins), F.bitwise_not)
+            groups.append(F.when(inside, mins).otherwise(F.array().cast("array<bigint>")))
+        return F.concat(*groups)
+
+    def at(i: Column) -> Column:
+        return F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE)))
+
+    return _let(F.transform(F.sequence(F.lit(0), count - SHINGLE), at), of)
+
+
+def _word_pairs(lines: DataFrame) -> DataFrame:
+    """(a, b), a < b, by h1: lines of many words that share a window's key and may be within the word edits allowed."""
+    cut = lines.select("h1", _words(F.col("line")).alias("words")).where(F.size("words") >= WINDOWS[0][0])
+    keys = cut.select("h1", F.size("words").alias("count"), _word_groups(F.col("words")).alias("groups"), F.explode(_window_keys(F.col("words"))).alias("key"))
+    again = keys.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1").drop("times")
+    again = settle(again, "word-windows")
+    other = again.select("key", F.col("h1").alias("other"), F.col("count").alias("others"), F.col("groups").alias("groups2"))
+    most = word_edits(F.least("count", "others"))
+    apart = _letters_differ(F.col("groups"), F.col("groups2"))
+    alike = (F.col("h1") < F.col("other")) & (F.abs(F.col("count") - F.col("others")) <= most) & F.coalesce(apart <= 2 * most, F.lit(True))
+    return again.join(other, "key").where(alike).select(F.col("h1").alias("a"), F.col("other").alias("b"))
+
+
+def _words_within(a: Column, b: Column) -> Column:
+    """Whether two lines are within the word edits allowed: the edit distance of strings with one character for each word."""
+
+    def compare(x: Column) -> Column:
+        most = word_edits(F.least(F.size(x["a"]), F.size(x["b"])))
+
+        def coded(known: Column) -> Column:
+            code = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")
+            text = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
+            return F.call_function("levenshtein", text(x["a"]), text(x["b"]), most) >= 0
+
+        distance = _let(F.array_distinct(F.concat(x["a"], x["b"])), coded)
+        return F.when((most > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= most), distance).otherwise(F.lit(False))
+
+    return _let(F.struct(_words(a).alias("a"), _words(b).alias("b")), compare)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, k1, k2, pos, line, h1, h2) of all lines long enough to be judged."""
     return (
@@ -216,13 +290,14 @@ def _within(a: Column, b: Column, edits: int) -> Column:
 
 
 def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars, letters) within the allowed edits."""
+    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars, letters) within the allowed edits of characters or words."""
     line, length = F.col("line"), F.col("chars")
     index = lines.select("h1", "letters", F.explode(_index_keys(line, length)).alias("key"))
     probe = lines.select(F.col("h1").alias("other"), F.col("letters").alias("others"), F.explode(_probe_keys(line, length)).alias("key"))
     alike = (F.col("h1") != F.col("other")) & (_letters_differ(F.col("letters"), F.col("others")) <= 2 * MOST)
     met = index.join(probe, "key").where(alike)
-    pairs = settle(met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct(), "line-pairs")
+    met = met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
+    pairs = settle(met.union(_word_pairs(lines)).distinct(), "line-pairs")
     nodes = settle(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "paired-lines")
     blocks = bloom.blocks_for(nodes.count())
     texts = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("h1")))
@@ -234,6 +309,7 @@ def line_pairs(lines: DataFrame) -> DataFrame:
         limit = allowed(F.least(F.length("la"), F.length("lb"))) == edits
         near = (F.abs(F.length("la") - F.length("lb")) <= edits) & _pieces_in_common(F.col("la"), F.col("lb"), edits)
         close = F.when(limit, near & _within(F.col("la"), F.col("lb"), edits)).otherwise(close)
+    close = F.when(close, True).otherwise(_words_within(F.col("la"), F.col("lb")))
     return settle(both.where(close).select("h1a", "h2a", "h1b", "h2b"), "line-links")
 
 
@@ -280,8 +356,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines are compared without blanks at their ends.  Those of fewer than 20 characters always stay.  A line is dropped
     if it is in one class with a line that comes before it, by document id (null last), hash of the document, and position;
-    two lines link when they differ by at most one edit (from 20 characters of the shorter one) or two (from 40), and classes are
-    what links connect.  Null texts stay null, empty ones empty.  Rows that repeat an id and a text are one
+    two lines link when they differ by at most one edit (from 20 characters of the shorter one) or two (from 40), or by at most
+    one word added, removed or replaced for every 20 words of the shorter one, and classes are what links connect.  Null texts stay null, empty ones empty.  Rows that repeat an id and a text are one
     document, and each of them gets its result; same ids with other texts are other documents.  Columns of the input called
     ``n_lines``, ``n_dropped`` or ``dropped`` are replaced.
     """
