@@ -17,7 +17,7 @@ from tallyframe.llm import bloom
 from tallyframe.llm.components import components
 from tallyframe.storage import settle
 
-#: Edits allowed from so many characters on; shorter lines are never judged.
+#: Edits allowed from so many characters on; shorter lines are only compared for equality.
 EDITS = ((20, 1), (40, 2))
 MOST = max(edits for _, edits in EDITS)
 LEAST_CHARS = EDITS[0][0]
@@ -248,12 +248,17 @@ def _words_within(a: Column, b: Column) -> Column:
     return _let(F.struct(_words(a).alias("a"), _words(b).alias("b")), compare)
 
 
+def _judged(line: Column) -> Column:
+    """Whether copies of a line are dropped: lines of one or two words below the least length repeat by themselves."""
+    return (F.length(line) >= LEAST_CHARS) | F.rlike(line, F.lit(r"\S\s+\S+\s+\S"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, k1, k2, pos, line, h1, h2) of all lines long enough to be judged."""
+    """(id, k1, k2, pos, line, h1, h2) of all lines that are judged."""
     return (
         docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
         .select("id", "k1", "k2", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
-        .where(F.length("line") >= LEAST_CHARS)
+        .where(_judged(F.col("line")))
         .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
     )
 
@@ -335,7 +340,7 @@ def find_duplicate_lines(docs: DataFrame) -> DataFrame:
         found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()),
         "lines",
     )
-    links = line_pairs(_distinct_texts(found, lines))
+    links = line_pairs(_distinct_texts(found.where(F.length("line") >= LEAST_CHARS), lines))
     node = lambda x: lines.select(F.col("h1").alias(f"h1{x}"), F.col("h2").alias(f"h2{x}"), F.col("node").alias(x))
     labels = components(links.join(node("a"), ["h1a", "h2a"]).join(node("b"), ["h1b", "h2b"]))
     named = lines.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
@@ -354,12 +359,13 @@ def find_duplicate_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without repeated lines, and ``n_lines``, ``n_dropped``, ``dropped`` (positions from 0).
 
-    Lines are compared without blanks at their ends.  Those of fewer than 20 characters always stay.  A line is dropped
-    if it is in one class with a line that comes before it, by document id (null last), hash of the document, and position;
-    two lines link when they differ by at most one edit (from 20 characters of the shorter one) or two (from 40), or by at most
-    one word added, removed or replaced for every 20 words of the shorter one, and classes are what links connect.  Null texts stay null, empty ones empty.  Rows that repeat an id and a text are one
-    document, and each of them gets its result; same ids with other texts are other documents.  Columns of the input called
-    ``n_lines``, ``n_dropped`` or ``dropped`` are replaced.
+    Lines are compared without blanks at their ends.  Those of fewer than 20 characters and fewer than three words always stay;
+    other lines under 20 characters link only if they are equal.  A line is dropped if it is in one class with a line that comes
+    before it, by document id (null last), hash of the document, and position; two lines link when they differ by at most one edit
+    (from 20 characters of the shorter one) or two (from 40), or by at most one word added, removed or replaced for every 20
+    words of the shorter one, and classes are what links connect.  Null texts stay null, empty ones empty.  Rows that repeat
+    an id and a text are one document, and each of them gets its result; same ids with other texts are other documents.
+    Columns of the input called ``n_lines``, ``n_dropped`` or ``dropped`` are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")]
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.coalesce(text_col, F.lit(""))
