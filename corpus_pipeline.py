@@ -32,8 +32,10 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on all labelled ones, does not reject."""
+    """Documents that the quality classifier, fitted on all labelled ones, does not reject; all of them if no label meets a document."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     score = _free("score", docs.columns)
     return score_quality(docs, model, docs.columns, score_col=score).where(F.col(score) >= GOOD_SCORE).drop(score)
 

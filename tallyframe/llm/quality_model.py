@@ -122,6 +122,7 @@ class QualityModel:
     scale: np.ndarray
     layers: list[np.ndarray]
     temperature: float
+    learned: bool = True  # whether there was a label to learn from
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -140,7 +141,7 @@ def fit_network(vectors: np.ndarray, features: np.ndarray, labels: np.ndarray, c
     width = features.shape[1]
     share = (labels.sum() + 0.5) / (len(labels) + 1.0)
     flat = [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array(np.log(share / (1 - share)))]
-    model = QualityModel(vectors, np.zeros(width), np.ones(width), flat, 1.0)
+    model = QualityModel(vectors, np.zeros(width), np.ones(width), flat, 1.0, len(labels) > 0)
     if not len(labels) or labels.min() == labels.max():
         return model
     learn = ~checking if 0 < checking.sum() < len(labels) else np.ones(len(labels), dtype=bool)
