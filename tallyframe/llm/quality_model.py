@@ -24,7 +24,7 @@ ROWS = 1 << 14  # rows that words share
 DIMS = 32
 REACH = 2  # neighbours on either side
 NONZERO = 4  # entries of a word's random vector
-#: The network is fitted on at most this many labelled documents, taken by the hash of their ids.
+#: The network is fitted on at most this many distinct labelled documents (id and text), taken by the hash of their ids.
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 FEATURES = 2 * DIMS + 4
@@ -173,6 +173,8 @@ def fit_quality(
 ) -> QualityModel:
     """Word vectors from ``vector_docs`` (all documents, unlabelled) and a network from the labelled rows of ``docs``.
 
+    Rows that repeat an id and a text are one; ``train_rows`` bounds what is left, which the driver collects.
+
     ``labels`` has (id, label 0/1); an id labelled twice counts with its mean label, ids or labels that are
     null are left out, and so are labels without a document.
     """
@@ -182,8 +184,9 @@ def fit_quality(
         .groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("label"))
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    listed = rows.where("text is not null").select("id").join(known, "id").distinct()
-    chosen = settle(listed.orderBy(F.xxhash64("id"), "id").limit(train_rows), "labelled")
+    rows = rows.where("text is not null").withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
+    listed = rows.select("id", "h1", "h2").distinct().join(known, "id")
+    chosen = settle(listed.orderBy(F.xxhash64("id"), "id", "h1", "h2").limit(train_rows), "labelled")
     schema = T.StructType(
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("label", T.DoubleType()), T.StructField("checking", T.BooleanType()),
          T.StructField("features", T.BinaryType())]
@@ -199,7 +202,9 @@ def fit_quality(
                 )
 
     checking = (F.xxhash64("id", F.lit(1)) % 5 == 0).alias("checking")
-    table = rows.join(chosen, "id").select("id", "label", checking, "text").mapInArrow(run, schema).toArrow().sort_by("id")
+    once = rows.join(chosen, ["id", "h1", "h2"]).groupBy("id", "h1", "h2").agg(F.first("label").alias("label"), F.first("text").alias("text"))
+    table = once.select("id", "label", checking, "text").mapInArrow(run, schema).toArrow()
+    table = table.sort_by([("id", "ascending"), ("features", "ascending")])
     features = np.frombuffer(b"".join(table["features"].to_pylist()), dtype=np.float32).reshape(table.num_rows, FEATURES)
     return fit_network(vectors, features, table["label"].to_numpy(), np.array(table["checking"].to_pylist(), dtype=bool))
 
