@@ -103,7 +103,77 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS co
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
+PHRASES = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+counts AS MATERIALIZED (
+  SELECT lang, p, count(*) AS f
+  FROM (SELECT lang, array_to_string(w[k : k + size - 1], ' ') AS p
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM worded, (VALUES (1), (2), (3)) AS s(size)))
+  GROUP BY lang, p),
+often AS MATERIALIZED (SELECT lang, p, string_split(p, ' ') AS w, f FROM counts WHERE f >= 10 AND contains(p, ' ')),
+cut_at AS MATERIALIZED (
+  SELECT lang, p, f, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM often)),
+cuts AS MATERIALIZED (
+  SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+  FROM cut_at c JOIN counts l ON l.lang = c.lang AND l.p = c.head JOIN counts r ON r.lang = c.lang AND r.p = c.tail),
+candidates AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_pairs AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS p, max(f) AS longer
+  FROM (SELECT lang, w, f, unnest([1, 2]) AS i FROM often WHERE len(w) = 3) GROUP BY ALL),
+kept AS (
+  SELECT lang, c.p AS phrase, a, l, r, score
+  FROM candidates c LEFT JOIN inner_pairs i USING (lang, p) WHERE coalesce(100 * longer < 50 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+digits AS (
+  SELECT conv_id, turns, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bits FROM own),
+keyed AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295, bits), lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1)))) % 9 AS h FROM digits),
+whole AS (
+  SELECT k.conv_id, list_concat(coalesce(b.turns, [])[1 : h], k.turns[h + 1 :]) AS turns
+  FROM keyed k LEFT JOIN own b ON b.conv_id = k.conv_id - k.conv_id % 5),
+prefixes AS (
+  SELECT conv_id, depth, len(turns) AS len, md5(to_json(turns[1 : depth])::VARCHAR) AS key,
+         CASE WHEN depth > 0 THEN md5(to_json(turns[1 : depth - 1])::VARCHAR) END AS parent, coalesce(strlen(turns[depth].t), 0) AS bytes
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM whole)),
+nodes AS (
+  SELECT depth, key, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, key),
+families AS (SELECT p.depth, p.key, p.conv_id, count(c.key) AS n_children FROM nodes p LEFT JOIN nodes c ON c.parent = p.key AND c.depth = p.depth + 1 GROUP BY ALL),
+sums AS (
+  SELECT a.depth, a.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.bytes)::BIGINT AS saved_tokens
+  FROM nodes v JOIN families f USING (depth, key) JOIN prefixes a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, f.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN families f USING (depth, key) JOIN sums s USING (depth, key) LEFT JOIN nodes p ON p.key = n.parent AND p.depth = n.depth - 1
+"""
+
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 ORACLE = {
+    "op11_phrases": PHRASES,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_top_k": TOP_K,
     "op4_jaccard_join": JACCARD_JOIN,
     "op2_quality_rules": QUALITY_RULES,
     "op9_benchmark_hits": BENCHMARK_HITS,

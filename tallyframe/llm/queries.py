@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.block_topk import top_k
 from tallyframe.llm.decontaminate import find_contamination
 from tallyframe.llm.duck_bpe import Ranks, bpe_round_trip
 from tallyframe.llm.jaccard_rtree import jaccard_components
@@ -15,6 +16,8 @@ from tallyframe.llm.lang_id import fit_languages, predict_language
 from tallyframe.llm.lattice import Vocabulary
 from tallyframe.llm.lattice_lm import fit_lattice, score_texts
 from tallyframe.llm.line_dedup import dedup_lines
+from tallyframe.llm.phrase_mining import mine_phrases
+from tallyframe.llm.prefix_trie import conversation_turns, prefix_trie, rebuilt
 from tallyframe.llm.quality_model import fit_quality, score_quality
 from tallyframe.llm.repetition import COUNTS, repetition_rules
 from tallyframe.llm.token_store import read_token_store, write_token_store
@@ -113,6 +116,18 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_url_filter": url_filter,
     "op2_quality_rules": quality_rules,
@@ -124,4 +139,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe,
     "op9_benchmark_hits": benchmark_hits,
     "op10_language_id": language_id,
+    "op11_phrases": phrases,
+    "op12_prefix_trie": conversation_trie,
+    "op13_top_k": vector_search,
 }
