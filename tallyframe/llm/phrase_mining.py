@@ -30,7 +30,7 @@ from tallyframe.storage import settle
 CHUNK_WORDS = 1 << 22
 #: Texts longer than this are cut at ends of pieces.
 TEXT_BYTES = 1 << 20
-#: Bits of the fields that tell which phrases have reached the threshold (8 MB each).
+#: The fields that tell which phrases have reached the threshold have some 16 bits a phrase, and no more than 2^26 (8 MB).
 FIELD_BITS = 26
 
 _BREAKS = np.zeros(256, dtype=bool)
@@ -66,9 +66,12 @@ class Field:
         return (self.words[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
 
 
-def field_of(phrases: DataFrame, size: int, bits: int | None = None) -> Field | None:
-    """The field of the phrases (w1, ... of ``size`` words); None if there are none.  At most 2^bits / 64 rows reach the driver."""
-    width = FIELD_BITS if bits is None else bits
+def field_of(phrases: DataFrame, size: int) -> Field | None:
+    """The field of the phrases (w1, ... of ``size`` words); None if there are none.  At most 2^FIELD_BITS / 64 rows reach the driver."""
+    held = phrases.count()
+    if not held:
+        return None
+    width = min(FIELD_BITS, max(6, (16 * held).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,8 +83,6 @@ def field_of(phrases: DataFrame, size: int, bits: int | None = None) -> Field |
             yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bits"])
 
     parts = phrases.select(*_words(size)).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    if not parts.num_rows:
-        return None
     words = np.zeros(max(1 << width >> 6, 1), dtype=np.uint64)
     words[parts["word"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
     return Field(width, words)
@@ -269,13 +270,13 @@ def count_phrases(
     scanned = lambda s: texts.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s)
     schema = f"size int, {', '.join(f'{w} bigint' for w in _words(most))}, n bigint"
     words = phrases = carried = per_lang = None
-    step, fields = 0, {}
+    step, fields, shared = 0, {}, None
     while step < shards or fields:
         shard = step % shards
         if fields:
-            shared = context.broadcast(fields)
             counts = scanned(shard).mapInArrow(_phrase_scan(seed, most, shared), schema)
             phrases = settle(_merged(carried, counts, shard, shards, most, step, threshold), "phrases")
+            shared.destroy()
         if step < shards:
             counts = scanned(shard).mapInArrow(_word_scan(seed), "w1 bigint, lang string, word string, n bigint")
             words = settle(_merged_words(words, counts, step, threshold), "words")
@@ -293,8 +294,9 @@ def count_phrases(
             late = field_of(shorter.where(F.col("reach") >= step - shards), size - 1)
             if late is not None:
                 fields[size] = field_of(shorter, size - 1), late
-        if phrases is not None:
-            carried = phrases.mapInArrow(_unfinished(most, context.broadcast(fields)), phrases.schema)
+        if fields:
+            shared = context.broadcast(fields)
+            carried = None if phrases is None else phrases.mapInArrow(_unfinished(most, shared), phrases.schema)
     words = words.select("w1", "least.lang", "least.word", "n")
     if phrases is None:
         phrases = docs.sparkSession.createDataFrame([], f"{schema}, reach int").drop("reach")
