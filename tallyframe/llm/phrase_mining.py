@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm import spans as S
 from tallyframe.storage import settle
 
-#: Words counted together in a task.
-CHUNK_WORDS = 1 << 22
+#: Words counted together in a task, and rows handed on together.
+CHUNK_WORDS = 1 << 20
+BATCH_ROWS = 1 << 16
 #: Texts longer than this are cut at ends of pieces.
 TEXT_BYTES = 1 << 20
 #: The fields that tell which phrases have reached the threshold have some 16 bits a phrase, and no more than 2^26 (8 MB).
@@ -143,6 +144,12 @@ def _counted(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, counts
 
 
+def _batches(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for start in range(0, whole.num_rows, BATCH_ROWS):
+        yield whole.slice(start, BATCH_ROWS)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], coded: _Coded) -> Iterator[_Coded]:
     for batch in batches:
         langs, texts = [], []
@@ -171,9 +178,8 @@ def _word_scan(seed: int):
             for i, (c, p) in enumerate(zip(chunk.tolist(), (place - bounds[chunk]).tolist())):
                 buffer, starts, ends = coded.spelled[c]
                 words[i] = buffer[starts[p] : ends[p]].decode()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unique.view(np.int64)), pa.array([names[k] for k in lang_of]), pa.array(words, pa.string()), pa.array(counts)], names=["w1", "lang", "word", "n"]
-            )
+            columns = [pa.array(unique.view(np.int64)), pa.array([names[k] for k in lang_of]), pa.array(words, pa.string()), pa.array(counts)]
+            yield from _batches(columns, ["w1", "lang", "word", "n"])
 
     return run
 
@@ -208,9 +214,7 @@ def _count_size(codes: np.ndarray, at: np.ndarray, size: int, most: int, reached
         phrase = pd.factorize(phrase * np.int64(len(unique)) + ids[:, j])[0]
     place, counts = _counted(phrase, at)
     columns = [codes[place + j].view(np.int64) for j in range(size)] + [np.zeros(len(place), dtype=np.int64)] * (most - size)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(place), size, dtype=np.int32)), *map(pa.array, columns), pa.array(counts)], names=["size", *_words(most), "n"]
-    )
+    yield from _batches([pa.array(np.full(len(place), size, dtype=np.int32)), *map(pa.array, columns), pa.array(counts)], ["size", *_words(most), "n"])
 
 
 def _total(shards: int) -> Column:
