@@ -10,6 +10,7 @@ joins ids with their bytes and aggregates them in order.
 from __future__ import annotations
 
 import base64
+import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -113,7 +114,8 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": _MEMORY})
+        # Spills go to the task's own temporary folder and end with the connection.
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": _MEMORY, "temp_directory": tempfile.gettempdir()})
         self.sql.execute("SET preserve_insertion_order = false")
         self.sql.register("given_merges", ranks.merges)
         self.sql.register("given_spellings", ranks.spellings)
@@ -162,7 +164,15 @@ class Codec:
         words = [w for each in lists for w in each]
         new = list(set(words).difference(self.index))
         if new:
-            tokens, size = self.contract([w.encode() for w in new])
+            # A word that is a token as a whole is that token, whether merges lead to it or not.
+            spelled = [w.encode() for w in new]
+            whole = np.fromiter((self.ranks.ranks.get(w, -1) for w in spelled), dtype=np.int64, count=len(new))
+            rest = np.flatnonzero(whole < 0)
+            tokens, size = self.contract([spelled[i] for i in rest])
+            order = np.concatenate([np.flatnonzero(whole >= 0), rest])
+            new = [new[i] for i in order]
+            tokens = np.concatenate([whole[whole >= 0], tokens])
+            size = np.concatenate([np.ones(len(new) - len(rest), dtype=np.int64), size])
             self.first = np.concatenate([self.first, len(self.tokens) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.tokens = np.concatenate([self.tokens, tokens])

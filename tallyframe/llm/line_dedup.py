@@ -97,7 +97,8 @@ def _letters_differ(a: Column, b: Column) -> Column:
     """A number that no line within ``d`` edits exceeds 2 ``d`` with: each edit changes two counts by one at most."""
     total = F.lit(0)
     for k in range(len(_LETTERS)):
-        apart = (F.shiftrightunsigned(a, 8 * k) - F.shiftrightunsigned(b, 8 * k)).bitwiseAND(255)
+        # Each count is cut out before the difference is taken: whole words may be negative and leave the range.
+        apart = (F.shiftrightunsigned(a, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(255)).bitwiseAND(255)
         total = total + F.least(apart, F.lit(256) - apart)  # counts are kept modulo 256
     return total
 
