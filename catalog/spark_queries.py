@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from catalog import inputs as I
 from tallyframe import sources
 from tallyframe.functions import run_prefix, run_seed, softmax
 from tallyframe.operators import association, cells, errors, labels, metrics
-from tallyframe.operators import resample, runs, scoring, splits
+from tallyframe.operators import resample, runs, scoring, splits, training
 from tallyframe.plans import analyse_errors, compare_runs, evaluate_scores, prepare
 from tallyframe.sources.runs import history_long
 from tallyframe.storage import fresh_path
@@ -681,6 +682,53 @@ def fit_heads(spark, sf_dir):
     )
 
 
+def _joint(spark, sf_dir):
+    return vectors(spark, sf_dir), dict(HEAD_TASKS)
+
+
+@register
+def joint_gradient(spark, sf_dir):
+    """Gradient of the joint objective at nearest-centroid heads: class weights, smoothing, log variances of ln(classes); position 0 is the bias."""
+    rows, tasks = _joint(spark, sf_dir)
+    ready = training.prepare_rows(rows, "row_idx", "embedding", tasks)
+    zeros = training.zero_heads(ready, tasks, train_weights(spark, sf_dir))
+    heads = training.started(zeros, scoring.centroid_heads(rows, "embedding", tasks))
+    heads.log_vars[:] = [math.log(k) for k in heads.sizes]
+    sums = training.gradient_sums(ready, heads, training.Objective(5.0, 0.1), 0)
+    owners = [(row, task, c) for task, part in zip(heads.tasks, heads.slices()) for c, row in enumerate(range(part.start, part.stop))]
+    names = spark.createDataFrame(owners, "row int, task string, class_id int")
+    judged = ready.agg(*(F.count(f"y{t}").alias(task) for t, task in enumerate(heads.tasks)))
+    counts = judged.unpivot([], heads.tasks, "task", "n")
+    whole = F.array_insert(F.slice("total", F.lit(1), F.size("total") - 1), 1, F.element_at("total", -1))
+    return (
+        sums.join(names, "row").join(counts, "task")
+        .select("task", "class_id", "n", F.posexplode(whole).alias("pos", "value"))
+        .select("task", "class_id", "pos", (F.round(F.col("value") / F.col("n"), 6) + F.lit(0.0)).alias("gradient"))
+    )
+
+
+@register
+def train_heads(spark, sf_dir):
+    """Heads trained together on the focal loss, from cross-entropy heads on: shape, and that their focal loss is the lower one."""
+    rows, tasks = _joint(spark, sf_dir)
+    plain = scoring.fit_heads(rows, "embedding", tasks)
+    trained = training.train_heads(rows, "row_idx", "embedding", tasks, training.Objective(5.0), epochs=30, rate=0.1, decay=0.0, start=plain)
+    truth = (
+        F.when(F.col("task") == "two", F.col("label") % 2)
+        .when(F.col("task") == "three", F.col("label") % 3)
+        .otherwise(F.col("label"))
+    )
+    loss = {}
+    for name, heads in (("joint", trained.heads), ("plain", plain)):
+        logits = scoring.score_heads(rows, "embedding", heads, ["row_idx", "label"]).withColumn("y_true", truth)
+        loss[name] = scoring.focal_loss(logits, 5.0).select("task", F.col("loss").alias(name))
+    return (
+        trained.heads.select("task", "class_id", F.size("weight").alias("dims"))
+        .join(loss["joint"], "task").join(loss["plain"], "task").join(trained.log_vars, "task")
+        .select("task", "class_id", "dims", (F.col("joint") < F.col("plain")).alias("learned"), (F.col("log_var") != 0).alias("weighted"))
+    )
+
+
 @register
 def mean_losses(spark, sf_dir):
     """Losses of two passes, here with two focal exponents, averaged per task."""

@@ -571,6 +571,23 @@ SELECT task, class_id, 64 AS dims, true AS biases_cancel, true AS learned FROM (
   SELECT DISTINCT 'ten' AS task, label::INTEGER AS class_id FROM embeddings UNION ALL
   SELECT DISTINCT 'two', (label % 2)::INTEGER FROM embeddings UNION ALL
   SELECT DISTINCT 'three', (label % 3)::INTEGER FROM embeddings)""",
+    "train_heads": """
+SELECT task, class_id, 64 AS dims, true AS learned, true AS weighted FROM (
+  SELECT DISTINCT 'ten' AS task, label::INTEGER AS class_id FROM embeddings UNION ALL
+  SELECT DISTINCT 'two', (label % 2)::INTEGER FROM embeddings UNION ALL
+  SELECT DISTINCT 'three', (label % 3)::INTEGER FROM embeddings)""",
+    "joint_gradient": _with(_SCORED, _WEIGHTS, _WEIGHTED_CE) + """
+, facts AS (SELECT task, count(*) AS k, sum(weight) AS spread, sum(n) AS n FROM weights JOIN counts USING (task, class_id) GROUP BY task),
+by_ce AS (
+  SELECT row_idx, task, 5 * pow(1 - exp(-ce), 4) * exp(-ce) * ce + pow(1 - exp(-ce), 5) AS slope FROM ce),
+own AS (SELECT l.row_idx, l.task, 0.9 * w.weight AS hit FROM logp l JOIN weights w USING (task, class_id) WHERE l.class_id = l.y_true),
+by_logit AS (
+  SELECT l.row_idx, l.task, l.class_id, slope / k / n
+    * ((hit + 0.1 / k * spread) * exp(lp) - 0.1 / k * w.weight - CASE WHEN l.class_id = l.y_true THEN hit ELSE 0 END) AS d
+  FROM logp l JOIN own USING (row_idx, task) JOIN by_ce USING (row_idx, task) JOIN facts USING (task) JOIN weights w USING (task, class_id)),
+inputs AS (SELECT row_idx, task, pos, x FROM parts UNION ALL SELECT row_idx, task, 0, 1.0 FROM rows_)
+SELECT task, class_id::INTEGER AS class_id, pos::INTEGER AS pos, round(sum(d * x), 6) + 0.0 AS gradient
+FROM by_logit JOIN inputs USING (row_idx, task) GROUP BY ALL""",
     "predict": _with(_SCORED) + """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY row_idx, task ORDER BY z DESC, class_id) AS place
              FROM logp)

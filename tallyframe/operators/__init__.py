@@ -8,6 +8,7 @@ from tallyframe.operators import (
     runs,
     scoring,
     splits,
+    training,
 )
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "runs",
     "scoring",
     "splits",
+    "training",
 ]
