@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators.splits import apportion, split_info, stratified_split
+from tallyframe.operators import splits
+from tallyframe.operators.splits import apportion, ranked, split_info, stratified_split
 
 RATIOS = (0.8, 0.1, 0.1)
 
@@ -103,3 +104,47 @@ def test_quotas_stay_exact_for_huge_counts(table):
     got = {r.stratum: r.q for r in apportion(strata, "n", total, draws, "q").collect()}
     assert got == largest_remainder({"a": 3 * 10**12, "b": 10**12 + 1, "c": 7}, draws)
     assert sum(got.values()) == draws and total > draws
+
+
+@pytest.mark.parametrize("few,bits", [(1, 1), (4, 3), (16, 7)])
+def test_refined_buckets_give_the_same_rows(spark, table, monkeypatch, few, bits):
+    """Cuts found through many rounds, in a stratum of nearly all rows and in small ones."""
+    monkeypatch.setattr(splits, "FEW_ROWS", few)
+    sizes = {None: 3, "one": 1, "five": 5, "most": 300}
+    data = list(enumerate(s for s, n in sizes.items() for _ in range(n)))
+    got = {r.k: r.split for r in stratified_split(table("k int, s string", *data), "k", "s", RATIOS, 5, bucket_bits=bits).collect()}
+    null_first = [(k, "" if s is None else s) for k, s in data]  # the smallest stratum
+    assert got == brute_force(null_first, 5)
+
+
+def test_no_window_sees_more_than_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(splits, "FEW_ROWS", 32)
+    seen = []
+    real = splits._inside
+
+    def watched(base, groups, bits):
+        rows = real(base, groups, bits)
+        if "cuts" in groups.columns:
+            seen.append(rows.groupBy("b.stratum", "b._prefix").count().agg(F.max("count")).first()[0] or 0)
+        return rows
+
+    monkeypatch.setattr(splits, "_inside", watched)
+    df = spark.range(6000).withColumn("s", F.when(F.col("id") < 5500, F.lit(-1)).otherwise(F.col("id") % 400))
+    got = stratified_split(df, "id", "s", bucket_bits=5)
+    assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 4800, "val": 600, "test": 600}
+    assert max(seen) <= 32 and len(seen) >= 2
+
+
+def test_a_key_on_a_third_of_the_rows_stays_together(spark, monkeypatch):
+    """With ``check_key=False``: rows of one key share hash and key, and so their part."""
+    monkeypatch.setattr(splits, "FEW_ROWS", 4)
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("s"))
+    got = stratified_split(df, "k", "s", check_key=False, bucket_bits=8).groupBy("k").agg(F.countDistinct("split").alias("n"), F.count("*").alias("rows"))
+    assert got.where("n > 1").isEmpty() and got.agg(F.sum("rows")).first()[0] == 300
+
+
+def test_places_of_a_sorted_table(spark):
+    df = spark.range(500).select((F.col("id") % 50).alias("x"), F.col("id").alias("y")).repartition(7)
+    rows = ranked(df, "place", F.desc("x"), F.asc("y")).collect()
+    assert [(r.x, r.y) for r in sorted(rows, key=lambda r: r.place)] == sorted(((r.x, r.y) for r in rows), key=lambda r: (-r[0], r[1]))
+    assert sorted(r.place for r in rows) == list(range(1, 501))
