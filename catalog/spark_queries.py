@@ -20,7 +20,7 @@ from tallyframe.storage import fresh_path
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-REPLICATES = 200
+REPLICATES = 1000
 HEAD_TASKS = {"ten": "label", "two": "two", "three": "three"}
 
 

@@ -175,7 +175,7 @@ v AS (SELECT task_a, task_b, round({value}, {digits}) + 0.0 AS v, n FROM stats
 
 
 # Replicates: a draw is a position in the profile order, the same for all runs of a scope.
-_REPLICATES = 200
+_REPLICATES = 1000
 
 
 def _resample(truth: str, prefixes: str, joint: bool) -> str:

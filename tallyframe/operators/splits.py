@@ -53,7 +53,7 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     )
     parts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
     upto = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    starts = settle(parts.select("_part", (upto - F.col("_rows")).alias("_before")), "starts")
+    starts = parts.select("_part", (upto - F.col("_rows")).alias("_before"))
     return placed.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
@@ -185,7 +185,7 @@ def stratified_split(
     quotas = apportion(quotas, "left_over", held, held - tested, "val")
     quotas = quotas.withColumn("val", F.col("train") + F.col("val"))
 
-    cuts = _cut_points(base, settle(quotas, "quotas"), ["train", "val"], bucket_bits)
+    cuts = _cut_points(base, quotas, ["train", "val"], bucket_bits)
     here = F.struct(digest(f"d.{key}"), F.col(f"d.{key}").alias("key"))
     label = (
         F.when(here <= F.col("c.train"), "train")
