@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from tallyframe import sources
 from tallyframe.functions import run_prefix, run_seed, softmax
-from tallyframe.operators import association, cells, errors, labels, metrics
+from tallyframe.operators import association, cells, errors, labels, large_heads, metrics
 from tallyframe.operators import resample, runs, scoring, splits, training
 from tallyframe.plans import analyse_errors, compare_runs, evaluate_scores, prepare
 from tallyframe.sources.runs import history_long
@@ -573,6 +573,15 @@ def score_heads(spark, sf_dir):
     return exploded(scored(spark, sf_dir), "logits", "logit")
 
 
+@register
+def predict_blocks(spark, sf_dir):
+    """Predictions of a head of 97 classes that is scored in blocks of 20."""
+    rows = vectors(spark, sf_dir).withColumn("many", F.col("row_idx") % 97)
+    heads = scoring.centroid_heads(rows, "embedding", {"many": "many"})
+    found = large_heads.predict_blocks(rows, "embedding", heads, ["row_idx"], {"many": "many"}, block_parameters=20 * 65)
+    return rounded(found, "confidence", "log_sum", "ce")
+
+
 @register
 def softmax_rows(spark, sf_dir):
     rows = scored(spark, sf_dir).select("row_idx", "task", softmax(F.col("logits")).alias("p"))

@@ -564,6 +564,11 @@ SELECT task, round(delta, 4) AS delta,
 FROM paired""",
     "score_heads": _with(_SCORED)
     + f"SELECT row_idx, task, class_id, {r6('z', 'logit')} FROM logits",
+    "predict_blocks": "WITH rows_ AS (SELECT vec_id AS row_idx, 'many' AS task, vec_id % 97 AS y_true, embedding FROM embeddings),\nparts AS"
+    + _SCORED.split("parts AS", 1)[1] + f"""
+SELECT row_idx, any_value(task) AS task, (min(class_id) FILTER (lp = best))::INTEGER AS y_pred, {r9('exp(max(lp))', 'confidence')},
+  {r9('max(lse)', 'log_sum')}, {r9('-max(lp) FILTER (class_id = y_true)', 'ce')}
+FROM (SELECT l.*, n.lse, max(lp) OVER (PARTITION BY row_idx) AS best FROM logp l JOIN norms n USING (row_idx, task)) GROUP BY row_idx""",
     "softmax_rows": _with(_SCORED)
     + f"SELECT row_idx, task, class_id, {r6('exp(lp)', 'probability')} FROM logp",
     "fit_heads": """

@@ -3,6 +3,7 @@ from tallyframe.operators import (
     cells,
     errors,
     labels,
+    large_heads,
     metrics,
     resample,
     runs,
@@ -16,6 +17,7 @@ __all__ = [
     "cells",
     "errors",
     "labels",
+    "large_heads",
     "metrics",
     "resample",
     "runs",

@@ -31,8 +31,9 @@ HEADS_SCHEMA = T.StructType(
     ]
 )
 
-# Model parameters travel to every task; this is 1 GB of doubles.
+# Model parameters travel to every task; this is 1 GB of doubles.  Larger heads are scored by ``large_heads.predict_blocks``.
 _MAX_PARAMETERS = 1 << 27
+_SLICE_LOGITS = 1 << 22
 
 
 def centroid_heads(df: DataFrame, vec_col: str, labels: dict[str, str]) -> DataFrame:
@@ -65,7 +66,7 @@ def _matrices(heads: DataFrame):
 
     size = heads.agg(F.sum(F.size("weight"))).first()[0] or 0
     if size > _MAX_PARAMETERS:
-        raise ValueError(f"heads hold {size} parameters; score the tasks in several calls")
+        raise ValueError(f"heads hold {size} parameters; use large_heads.predict_blocks")
     per_task: dict[str, list] = {}
     for row in heads.orderBy("task", "class_id").collect():
         per_task.setdefault(row["task"], []).append(row)
@@ -100,7 +101,8 @@ def score_heads(
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        step = max(1, _SLICE_LOGITS // max(len(bias), 1))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             vectors = batch.column("_vec")
             flat = np.asarray(vectors.flatten(), dtype="float64")
             logits = flat.reshape(len(vectors), weight.shape[1]) @ weight.T + bias
