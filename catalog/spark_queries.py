@@ -847,6 +847,15 @@ def error_pipeline(spark, sf_dir):
     )
 
 
+@register
+def aligned_profiles(spark, sf_dir):
+    """Examples per profile of all runs, counted on predictions that are stored by bucket of their example."""
+    predictions = I.with_predictions(I.document_truth(spark, sf_dir))
+    stored = sources.store_aligned(predictions, fresh_path(spark, "stored"))
+    profiles = resample.profile_counts(stored, ["lang"], [*I.MULTI, *I.SINGLE])
+    return profiles.select("scope", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"), "n")
+
+
 @register
 def compare_pipeline(spark, sf_dir):
     predictions = I.with_predictions(I.document_truth(spark, sf_dir, joint=True))

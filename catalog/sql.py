@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from catalog.inputs import MULTI, SINGLE
+
 _RUNS = ", ".join(
     f"('{p}_seed{s}', '{p}', {s}, {q})"
     for p, q in (("multi", 85), ("single", 82))
@@ -649,5 +651,11 @@ FROM parted JOIN ids USING (lang) GROUP BY lang_encoded, split""",
 SELECT run, row_idx, list_extract(['de', 'en', 'es', 'fr'], y_true + 1) AS true_label,
   list_extract(['de', 'en', 'es', 'fr'], y_pred + 1) AS pred_label, md5(text) AS digest, place
 FROM ranked JOIN documents ON doc_id = row_idx WHERE place <= 5""",
+    "aligned_profiles": _with(_DOC_TRUTH, _PREDICTIONS) + f"""
+SELECT scope, code, count(*) AS n FROM (
+  SELECT task AS scope, row_idx, concat_ws(',', max(y_true), {', '.join(
+      f"coalesce(max(CASE WHEN run = '{r}' THEN coalesce(y_pred, -1) END), -2)" for r in (*MULTI, *SINGLE))}) AS code
+  FROM predictions GROUP BY task, row_idx HAVING count(y_true) > 0)
+GROUP BY scope, code""",
     "compare_pipeline": _PAIRED_MEAN_SQL,
 }

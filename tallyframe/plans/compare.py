@@ -10,6 +10,7 @@ from tallyframe.operators.cells import confusion_cells
 from tallyframe.operators.metrics import task_metrics
 from tallyframe.operators.resample import bootstrap_ci, compare_paired, paired_deltas
 from tallyframe.operators.runs import aggregate_seeds
+from tallyframe.sources.aligned import align_once
 from tallyframe.storage import settle
 
 
@@ -21,8 +22,15 @@ def compare_runs(
     replicates: int = 1000,
     seed: int = 0,
     method: str = "cells",
+    align: bool = True,
 ) -> dict[str, DataFrame]:
-    """All tables of a comparison; predictions are read once for the metrics."""
+    """All tables of a comparison.
+
+    The predictions are dealt into buckets of examples once; metrics, intervals and pairs read these without another exchange of
+    rows.  ``align=False`` is for predictions that are stored so already.
+    """
+    if align:
+        predictions = align_once(predictions)
     by = ["prefix", "run", "task"]
     metrics = settle(task_metrics(confusion_cells(predictions, by), by), "metrics")
     summary = aggregate_seeds(metrics)

@@ -1,3 +1,4 @@
+from tallyframe.sources.aligned import append_aligned, read_aligned, store_aligned
 from tallyframe.sources.encoders import read_encoder, write_encoder
 from tallyframe.sources.questions import read_questions, read_split, write_splits
 from tallyframe.sources.runs import (
@@ -11,6 +12,9 @@ from tallyframe.sources.runs import (
 )
 
 __all__ = [
+    "append_aligned",
+    "read_aligned",
+    "store_aligned",
     "missing_tasks",
     "read_encoder",
     "read_history",
