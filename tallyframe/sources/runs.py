@@ -33,15 +33,15 @@ _FIGURES = {
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Parquet in (prefix, run, split) folders, so readers open only what they compare.
 
-    Writing a run's split again replaces it and leaves all others.  Rows of a folder are dealt
-    by eight salts of the row, so folders have few files and a large run is not one task's work.
+    Writing a run's split again replaces it and leaves all others.  Rows are dealt by folder and rebalanced by
+    size: small folders have one file, and a large run is split into as many tasks as its bytes ask for.
     """
     names = [f.name for f in PREDICTION_SCHEMA.fields]
     missing = [c for c in names if c not in predictions.columns]
     if missing:
         raise ValueError(f"columns not in the predictions: {missing}")
     folders = ("prefix", "run", "split")
-    dealt = predictions.select(*names).repartition(*folders, F.pmod(F.xxhash64("row_idx"), F.lit(8)))
+    dealt = predictions.select(*names).hint("rebalance", *map(F.col, folders))
     dealt.write.partitionBy(*folders).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

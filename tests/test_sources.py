@@ -166,3 +166,22 @@ def test_score_evaluate_compare_and_analyse(spark, table):
     assert parts["matrix"].count() == 4 * 2 * 4
     assert {(r.text, r.true_label) for r in parts["errors"].where("task = 'a'").collect()} == {("t0", "no")}
     assert parts["report"].where("label = 'macro avg'").count() == 8
+
+
+def test_a_large_run_is_written_by_many_tasks(spark, tmp_path):
+    """One run's rows are split by their size, small runs have one file."""
+    big = spark.range(200_000).select(F.lit("big").alias("run"), F.col("id").alias("row_idx"), F.rand(1).alias("confidence"))
+    small = spark.range(10).select(F.lit("small").alias("run"), F.col("id").alias("row_idx"), F.rand(1).alias("confidence"))
+    table = big.unionByName(small).select(
+        F.lit("p").alias("prefix"), "run", F.lit(1).alias("seed"), F.lit("test").alias("split"), "row_idx", F.lit("t").alias("task"),
+        F.lit(0).alias("y_true"), F.lit(0).alias("y_pred"), "confidence",
+    )
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        write_predictions(table, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advised)
+    files = {r: len(list(tmp_path.glob(f"**/run={r}/**/*.parquet"))) for r in ("big", "small")}
+    assert files["big"] >= 3 and files["small"] == 1
+    assert read_predictions(spark, str(tmp_path)).count() == 200_010
