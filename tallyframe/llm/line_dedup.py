@@ -10,7 +10,7 @@ of that run.  Linked lines are one class, of which the first occurrence stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bloom
@@ -191,10 +191,36 @@ def word_edits(words: Column) -> Column:
     return F.floor(words / WORDS_PER_EDIT).cast("int")
 
 
-def _word_groups(words: Column) -> Column:
-    """Words counted in seven groups by hash, eight bits each; null where a count might not fit."""
-    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(w), F.lit(7)) * 8).cast("int"))
-    return F.when(F.size(words) < 256, F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + one(w)))
+def _word_parity(words: Column, half: int) -> Column:
+    """64 of 128 bits: whether the number of words with a hash is odd."""
+
+    def flip(acc: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+        return F.when(h.bitwiseAND(64) == 64 * half, acc.bitwiseXOR(bit)).otherwise(acc)
+
+    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), F.lit(0).cast("long"), flip)
+
+
+def _words_differ(odd: tuple[Column, Column], even: tuple[Column, Column]) -> Column:
+    """A number that is not above the words that only one of two lines has, so not above 2 ``d`` within ``d`` word edits."""
+    return F.bit_count(odd[0].bitwiseXOR(odd[1])) + F.bit_count(even[0].bitwiseXOR(even[1]))
+
+
+def _shingle_hashes(hashes: Column) -> Column:
+    """Hashes of the runs of ``SHINGLE`` (five) words, from the hashes of the words: runs of two make runs of four."""
+    joined = lambda x, y: F.xxhash64(x, y)
+    of_four = lambda twos: F.zip_with(twos, F.slice(twos, 3, F.size(twos)), joined)
+    two = F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), joined)
+    five = F.zip_with(_let(two, of_four), F.slice(hashes, SHINGLE, F.size(hashes)), joined)
+    return F.slice(five, 1, F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(0)))
+
+
+def _sliding_min(values: Column, window: int, done: int = 1) -> Column:
+    """The least of each ``window`` neighbours.  Windows double until they are wide enough, so the work is linear in the length."""
+    if done == window:
+        return values
+    step = min(done, window - done)
+    return _let(values, lambda v: _sliding_min(F.zip_with(v, F.slice(v, step + 1, F.size(v)), lambda x, y: F.least(x, y)), window, done + step))
 
 
 def _window_keys(words: Column) -> Column:
@@ -208,45 +234,37 @@ def _window_keys(words: Column) -> Column:
             if k + 1 < len(WINDOWS):
                 border = WINDOWS[k + 1][0]  # a line over the border can have a partner below it
                 inside = inside & (count < border + border // WORDS_PER_EDIT)
-            mins = F.transform(F.sequence(F.lit(1), F.size(hashes) - window + 1), lambda i, w=window: F.array_min(F.slice(hashes, i, w)))
-            mins = F.array_distinct(mins) if k == 0 else F.transform(F.array_distinct(mins), F.bitwise_not)
+            whole = F.greatest(F.size(hashes) - window + 1, F.lit(0))
+            mins = F.array_distinct(F.slice(_sliding_min(hashes, window), 1, whole))
+            mins = mins if k == 0 else F.transform(mins, F.bitwise_not)
             groups.append(F.when(inside, mins).otherwise(F.array().cast("array<bigint>")))
         return F.concat(*groups)
 
-    def at(i: Column) -> Column:
-        return F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE)))
-
-    return _let(F.transform(F.sequence(F.lit(0), count - SHINGLE), at), of)
-
-
-def _word_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b), a < b, by h1: lines of many words that share a window's key and may be within the word edits allowed."""
-    cut = lines.select("h1", _words(F.col("line")).alias("words")).where(F.size("words") >= WINDOWS[0][0])
-    keys = cut.select("h1", F.size("words").alias("count"), _word_groups(F.col("words")).alias("groups"), F.explode(_window_keys(F.col("words"))).alias("key"))
-    again = keys.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1").drop("times")
-    again = settle(again, "word-windows")
-    other = again.select("key", F.col("h1").alias("other"), F.col("count").alias("others"), F.col("groups").alias("groups2"))
-    most = word_edits(F.least("count", "others"))
-    apart = _letters_differ(F.col("groups"), F.col("groups2"))
-    alike = (F.col("h1") < F.col("other")) & (F.abs(F.col("count") - F.col("others")) <= most) & F.coalesce(apart <= 2 * most, F.lit(True))
-    return again.join(other, "key").where(alike).select(F.col("h1").alias("a"), F.col("other").alias("b"))
+    made = _let(_let(F.transform(words, lambda w: F.xxhash64(w)), _shingle_hashes), of)
+    return F.when(count >= WINDOWS[0][0], made).otherwise(F.array().cast("array<bigint>"))
 
 
 def _words_within(a: Column, b: Column) -> Column:
-    """Whether two lines are within the word edits allowed: the edit distance of strings with one character for each word."""
+    """Whether two lists of words are within the word edits allowed: the edit distance of strings with one character for each word.
+
+    Words get their characters by hash, which can only lower the distance.  If it is low enough and two words of the pair
+    have the same character, words are numbered by their place among all words of the pair, and the distance is taken anew.
+    """
+    string = lambda words, code: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
+    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000
 
     def compare(x: Column) -> Column:
         most = word_edits(F.least(F.size(x["a"]), F.size(x["b"])))
+        within = lambda code: F.call_function("levenshtein", string(x["a"], code), string(x["b"], code), most) >= 0
 
-        def coded(known: Column) -> Column:
-            code = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")
-            text = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
-            return F.call_function("levenshtein", text(x["a"]), text(x["b"]), most) >= 0
+        def exact(known: Column) -> Column:
+            alone = F.size(F.array_distinct(F.transform(known, hashed))) == F.size(known)
+            return F.when(alone, True).otherwise(within(lambda w: F.array_position(known, w) + 0xFFFF))
 
-        distance = _let(F.array_distinct(F.concat(x["a"], x["b"])), coded)
-        return F.when((most > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= most), distance).otherwise(F.lit(False))
+        near = F.when(within(hashed), _let(F.array_distinct(F.concat(x["a"], x["b"])), exact)).otherwise(F.lit(False))
+        return F.when((most > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= most), near).otherwise(F.lit(False))
 
-    return _let(F.struct(_words(a).alias("a"), _words(b).alias("b")), compare)
+    return _let(F.struct(a.alias("a"), b.alias("b")), compare)
 
 
 def _judged(line: Column) -> Column:
@@ -295,32 +313,146 @@ def _within(a: Column, b: Column, edits: int) -> Column:
     return _let(_common_start(a, b, F.least(F.length(a), F.length(b))), with_end)
 
 
-def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (h1a, h2a, h1b, h2b) between distinct lines (h1, h2, line, chars, letters) within the allowed edits of characters or words."""
+def _members(lines: DataFrame) -> DataFrame:
+    """(key, h1, own) of the keys that meet: two lines or more have them, and one as its index (``own``).
+
+    Index keys are among a line's probe keys.  Nearly all keys are those of one line, so they are counted first, combined
+    before the shuffle, and a filter keeps them out of the second one.
+    """
     line, length = F.col("line"), F.col("chars")
-    index = lines.select("h1", "letters", F.explode(_index_keys(line, length)).alias("key"))
-    probe = lines.select(F.col("h1").alias("other"), F.col("letters").alias("others"), F.explode(_probe_keys(line, length)).alias("key"))
-    alike = (F.col("h1") != F.col("other")) & (_letters_differ(F.col("letters"), F.col("others")) <= 2 * MOST)
-    met = index.join(probe, "key").where(alike)
-    met = met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
-    pairs = settle(met.union(_word_pairs(lines)).distinct(), "line-pairs")
-    nodes = settle(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "paired-lines")
+    chars = lines.select("h1", _index_keys(line, length).alias("index"), F.explode(F.array_distinct(_probe_keys(line, length))).alias("key"))
+    chars = chars.select("key", "h1", F.array_contains("index", F.col("key")).alias("own"))
+    words = lines.select(F.explode("windows").alias("key"), "h1", F.lit(True).alias("own"))
+    keyed = chars.unionByName(words)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("own").alias("met")).where("size > 1 and met").select("key", "size")
+    shared = settle(shared, "line-keys")
+    blocks = bloom.blocks_for(shared.count())
+    likely = keyed.where(bloom.may_contain(bloom.bloom_words(shared, blocks), blocks, F.col("key")))
+    return settle(likely.join(shared, "key"), "line-members")
+
+
+def _texts(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(h1, h2, line, chars, letters, count, parity0, parity1) of the lines that have members."""
+    nodes = settle(members.select(F.col("h1").alias("key")).distinct(), "paired-lines")
     blocks = bloom.blocks_for(nodes.count())
-    texts = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("h1")))
-    texts = settle(texts.join(nodes, F.col("h1") == F.col("key"), "left_semi"), "pair-lines")
-    side = lambda x: texts.select(F.col("h1").alias(x), F.col("h1").alias(f"h1{x}"), F.col("h2").alias(f"h2{x}"), F.col("line").alias(f"l{x}"))
+    likely = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("h1")))
+    told = likely.join(nodes, F.col("h1") == F.col("key"), "left_semi").drop("windows").withColumn("words", _words(F.col("line")))
+    facts = {"count": F.size("words"), "parity0": _word_parity(F.col("words"), 0), "parity1": _word_parity(F.col("words"), 1)}
+    return settle(told.withColumns(facts).drop("words"), "pair-lines")
+
+
+#: What is known of a line before it is compared; two lines that these tell apart are not paired.
+_FACTS = ("chars", "letters", "count", "parity0", "parity1")
+
+
+def _alike(a: str, b: str) -> Column:
+    """False only for lines that are not within the edits of characters or words; their facts have these suffixes."""
+    of = lambda name: (F.col(name + a), F.col(name + b))
+    difference = lambda name: F.abs(F.col(name + a) - F.col(name + b))
+    most = word_edits(F.least(*of("count")))
+    differ = _words_differ(of("parity0"), of("parity1"))
+    # The distance is not below the words that only the one line has, nor those of the other: the greater is half of sum and difference.
+    by_words = (most > 0) & (difference("count") <= most) & (differ + difference("count") <= 2 * most)
+    # An edit of a character changes one word, or makes two of one or one of two.
+    by_chars = (difference("chars") <= MOST) & (differ <= 3 * MOST) & (_letters_differ(*of("letters")) <= 2 * MOST)
+    return by_chars | by_words
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (h1a, h2a, h1b, h2b): those pairs (a, b), by h1, whose lines are within the allowed edits of characters or words."""
+    side = lambda x: texts.select(F.col("h1").alias(x), *(F.col(c).alias(c + x) for c in ("h1", "h2", "line", *_FACTS)))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    la, lb = F.col("linea"), F.col("lineb")
     close = F.lit(False)
     for _, edits in EDITS:
-        limit = allowed(F.least(F.length("la"), F.length("lb"))) == edits
-        near = (F.abs(F.length("la") - F.length("lb")) <= edits) & _pieces_in_common(F.col("la"), F.col("lb"), edits)
-        close = F.when(limit, near & _within(F.col("la"), F.col("lb"), edits)).otherwise(close)
-    close = F.when(close, True).otherwise(_words_within(F.col("la"), F.col("lb")))
+        limit = allowed(F.least("charsa", "charsb")) == edits
+        near = (F.abs(F.col("charsa") - F.col("charsb")) <= edits) & _pieces_in_common(la, lb, edits)
+        close = F.when(limit, near & _within(la, lb, edits)).otherwise(close)
+    close = F.when(close, True).otherwise(_words_within(_words(la), _words(lb)))
     return settle(both.where(close).select("h1a", "h2a", "h1b", "h2b"), "line-links")
 
 
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+#: Pivots that a line is compared with in a round, and rounds.
+PIVOTS = 4
+ROUNDS = 2
+
+
+def _star(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each line with ``PIVOTS`` lines of other classes; members: (key, h1, own, size, label).
+
+    The lines of a key are dealt into as many slots by hash; the pivot of a slot is its most connected index line, in later
+    rounds any one, and of the pivots of each slot a line takes the one that it shares most keys with.
+    """
+    slot = F.pmod(F.xxhash64("h1", F.lit(turn)), F.lit(PIVOTS)).alias("slot")
+    rank = F.sum("size") if turn == 0 else F.xxhash64("h1", F.lit(-turn))
+    ranked = members.groupBy("h1").agg(rank.alias("rank"))
+    best = F.max(F.struct("rank", "h1", "label"))
+    pivots = members.where("own").join(ranked, "h1").groupBy("key", slot).agg(best["h1"].alias("pivot"), best["label"].alias("other"))
+    met = members.join(pivots, "key").where("label <> other").groupBy("h1", "slot", "pivot").count()
+    chosen = met.groupBy("h1", "slot").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("pivot"))
+    return settle(chosen.select(*_ordered("h1", "pivot")).distinct(), "line-star")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of keys in which lines of several classes meet, with their classes by the links so far."""
+    labels = components(links.select(F.col("h1a").alias("a"), F.col("h1b").alias("b"))).select(F.col("vertex").alias("h1"), "label")
+    told = settle(members.drop("label").join(labels, "h1", "left").withColumn("label", F.coalesce("label", "h1")), "line-labels")
+    still = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return settle(told.join(still, "key"), "line-open")
+
+
+def _near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that the facts of their lines do not tell apart; no text is moved."""
+    side = lambda x: texts.select(F.col("h1").alias(x), *(F.col(c).alias(c + x) for c in _FACTS))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b")).select("a", "b").distinct()
+    return settle(near, "line-near")
+
+
+#: Index keys of a line, the least ones, that go with each of its members.
+LEAST_KEYS = 16
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different classes that meet in a key and that the facts of their lines do not tell apart.
+
+    A pair that shares many keys is made at the least index key that both have among their ``LEAST_KEYS``, not at later ones too.
+    """
+    keys = members.where("own").groupBy("h1").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    facts = members.join(texts.select("h1", *_FACTS), "h1").join(keys, "h1", "left")
+    side = lambda x: [F.col(c).alias(c + x) for c in ("h1", "label", "least", *_FACTS)]
+    probe = facts.select("key", "own", *side("x"))
+    index = facts.where("own").select("key", *side("y"))
+    # Lines that have a key as their index are there on both sides and meet once.
+    other = (F.col("labelx") != F.col("labely")) & (~F.col("own") | (F.col("h1x") < F.col("h1y")))
+    first = F.coalesce(F.array_min(F.array_intersect("leastx", "leasty")) >= F.col("key"), F.lit(True))
+    met = probe.join(index, "key").where(other & _alike("x", "y") & first)
+    return met.select(*_ordered("h1x", "h1y")).distinct()
+
+
+def line_pairs(lines: DataFrame) -> DataFrame:
+    """Links (h1a, h2a, h1b, h2b) that tie the distinct lines (h1, h2, line, chars, letters, windows) within the allowed edits of characters or words.
+
+    Each line is first compared with a few pivots of its keys, in some rounds, so that a group of near copies is tied with a few
+    comparisons for each of its lines.  All pairs that share a key are compared only between the classes that this leaves.
+    """
+    members = _members(lines)
+    texts = _texts(lines, members)
+    members, links, tried = members.withColumn("label", F.col("h1")), None, None
+    for turn in range(ROUNDS):
+        star = _star(members, turn)
+        found = _verified(_near_pairs(star, texts), texts)
+        links, tried = (found, star) if links is None else (links.union(found), tried.union(star))
+        members = _labelled(members, links)
+    rest = _open_pairs(members, texts).join(tried.distinct(), ["a", "b"], "left_anti")
+    return links.union(_verified(settle(rest, "line-pairs"), texts))
+
+
 def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, line, chars, letters) of every distinct line once, written: it is read for the index, the probes and the pairs.
+    """(h1, h2, line, chars, letters, windows) of every distinct line once, written: it is read for the keys and the pairs.
 
     A line that the filter of the repeated ones lets go is there once and is taken as it is; only the others are
     gathered by their hashes, combined before the shuffle.
@@ -330,7 +462,8 @@ def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
     repeated = bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
     gathered = found.where(repeated).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     once = found.where(~repeated).select("h1", "h2", "line").unionByName(gathered)
-    return settle(once.withColumns({"chars": F.length("line"), "letters": _letter_counts(F.col("line"))}), "distinct-lines")
+    told = {"chars": F.length("line"), "letters": _letter_counts(F.col("line")), "windows": _let(_words(F.col("line")), _window_keys)}
+    return settle(once.withColumns(told), "distinct-lines")
 
 
 def find_duplicate_lines(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm.line_dedup import _word_groups, _words, _words_within, _letters_differ, dedup_lines
-from tests.llm.test_line_dedup import distance
+from tallyframe.llm.line_dedup import _sliding_min, _word_parity, _words, _words_differ, _words_within, dedup_lines
+from tests.llm.test_line_dedup import distance, expected_ids
 
 
 def some_line(pick, n):
@@ -44,13 +44,36 @@ def test_word_distance_and_groups(spark):
         pairs.append((a, " ".join(words)))
     a, b = F.col("a"), F.col("b")
     frame = spark.createDataFrame(pairs, "a string, b string")
-    for r in frame.select("a", "b", _words_within(a, b).alias("near"), _letters_differ(_word_groups(_words(a)), _word_groups(_words(b))).alias("groups")).collect():
+    for r in frame.select("a", "b", _words_within(_words(a), _words(b)).alias("near"), _words_differ(*((_word_parity(_words(a), k), _word_parity(_words(b), k)) for k in (0, 1))).alias("parity")).collect():
         x, y = r.a.split(" "), r.b.split(" ")
         true, most = distance(x, y), min(len(x), len(y)) // 20
         assert r.near == (most > 0 and true <= most)
-        assert r.groups <= 2 * true
+        assert r.parity <= 2 * true
 
 
 def test_no_python_in_the_plan_of_long_lines(spark):
     frame = spark.createDataFrame([(1, some_line(random.Random(1), 90))], "doc_id long, text string")
     assert not re.search("Python|Arrow|Pandas", dedup_lines(frame)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_least_of_neighbours(spark):
+    pick = random.Random(7)
+    rows = [([pick.randrange(50) for _ in range(n)],) for n in (0, 1, 5, 6, 7, 12, 40)]
+    six, twelve = (_sliding_min(F.col("v"), w).alias(f"w{w}") for w in (6, 12))
+    for r in spark.createDataFrame(rows, "v array<bigint>").select("v", six, twelve).collect():
+        for window, got in ((6, r.w6), (12, r.w12)):
+            whole = max(len(r.v) - window + 1, 0)
+            assert got[:whole] == [min(r.v[i : i + window]) for i in range(whole)]
+
+
+def test_group_of_near_copies_by_all_pairs(spark):
+    """Near copies of one line, of which many link with each other but not with the pivot, and copies that differ by characters too."""
+    pick = random.Random(8)
+    docs = []
+    for n in (24, 45, 90):
+        line = some_line(pick, n)
+        for k in range(25):
+            near = changed(pick, line, pick.randint(1, 2 * (n // 20)))
+            docs.append((len(docs), near if k % 3 else near.replace("a", "e", 1)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.dropped for r in dedup_lines(frame).collect()} == expected_ids(docs)
