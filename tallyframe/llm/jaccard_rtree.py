@@ -88,7 +88,8 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         sums = np.add.reduceat(value[order], starts)
         keys.append(S.mix(sums + S.mix(ordered[starts] + np.uint64(count << 32))))
-        if len(starts) <= most:
+        # This count serves pairs that differ in count - 3 shingles at most; with more filled segments one stays equal.
+        if len(starts) <= min(most, count - 3):
             keys.append(S.mix(np.array([count], dtype=np.uint64) ^ np.uint64(0x1234567)))
     return np.concatenate(keys)
 
