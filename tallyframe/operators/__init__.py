@@ -5,6 +5,7 @@ from tallyframe.operators import (
     labels,
     large_heads,
     metrics,
+    percentiles,
     resample,
     runs,
     scoring,
@@ -19,6 +20,7 @@ __all__ = [
     "labels",
     "large_heads",
     "metrics",
+    "percentiles",
     "resample",
     "runs",
     "scoring",
