@@ -1,5 +1,6 @@
 from tallyframe.functions.hashing import hash60
 from tallyframe.functions.text import (
+    fixed_text,
     interval_text,
     map_flag,
     mean_std_text,
@@ -22,6 +23,7 @@ __all__ = [
     "argmax",
     "confidence",
     "cross_entropy",
+    "fixed_text",
     "focal_term",
     "hash60",
     "interval_text",

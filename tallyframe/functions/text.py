@@ -40,13 +40,49 @@ def run_seed(run: Column) -> Column:
     return F.when(digits != "", digits).cast("int")
 
 
+def fixed_text(number: Column, digits: int, plus: bool = False) -> Column:
+    """``number`` with ``digits`` decimals (1 to 7), rounded by the exact binary value of the double, exact ties to even.
+
+    ``format_string`` rounds the shortest decimal that stands for the double instead, so 0.00015, which is a little less than
+    that, becomes 0.0002 there and 0.0001 here.  ``plus`` puts a sign before numbers of zero and more.  Numbers that
+    are not finite are ``nan``, ``inf``, ``-inf``; from 2^63 on ``format_string`` is used.
+    """
+    if not 1 <= digits <= 7:
+        raise ValueError(f"digits must be from 1 to 7: {digits}")
+    number = number.cast("double")
+    size = F.abs(number)
+    inside = F.when(size < 2.0**63, size).otherwise(0.0)
+    whole = F.floor(inside)
+    part = inside - whole.cast("double")  # exact, and under 1
+    unit = 10**digits
+    steps = F.floor(part * float(unit))
+    # Is the part above (2 * steps + 1) / (2 * unit)?  Both halves of the part have so few bits that their products are exact;
+    # near a tie so is the difference, and the sign of a sum of two doubles always is.
+    spread = part * float(2**27 + 1)
+    high = spread - (spread - part)
+    low = part - high
+    over = (high * float(2 * unit) - (steps * 2 + 1).cast("double")) + low * float(2 * unit)
+    up = F.when(over > 0, 1).when(over < 0, 0).otherwise(F.pmod(steps, F.lit(2)))
+    rounded = steps + up
+    carried = F.floor(rounded / unit).cast("bigint")
+    text = F.concat((whole + carried).cast("string"), F.lit("."), F.lpad((rounded - carried * unit).cast("string"), digits, "0"))
+    body = (
+        F.when(F.isnan(number), "nan")
+        .when(size == float("inf"), "inf")
+        .when(size >= 2.0**63, F.format_string(f"%.{digits}f", size))
+        .otherwise(text)
+    )
+    sign = F.when(number.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
+    return F.when(number.isNotNull(), F.concat(sign, body))
+
+
 def mean_std_text(mean: Column, std: Column) -> Column:
-    return F.format_string("%.4f ± %.4f", mean, std)
+    return F.concat(fixed_text(mean, 4), F.lit(" ± "), fixed_text(std, 4))
 
 
 def interval_text(low: Column, high: Column) -> Column:
     """``[-0.005, +0.024]``; one sign per number."""
-    return F.format_string("[%+.3f, %+.3f]", low, high)
+    return F.concat(F.lit("["), fixed_text(low, 3, True), F.lit(", "), fixed_text(high, 3, True), F.lit("]"))
 
 
 def stars(p: Column) -> Column:
