@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from tallyframe import sources
-from tallyframe.functions import run_prefix, run_seed, softmax
+from tallyframe.functions import fixed_text, run_prefix, run_seed, softmax
 from tallyframe.operators import association, cells, errors, labels, large_heads, metrics
+from tallyframe.operators import percentiles as counted_percentiles
 from tallyframe.operators import resample, runs, scoring, splits, training
 from tallyframe.plans import analyse_errors, compare_runs, evaluate_scores, prepare
+from tallyframe.sources import cell_store
 from tallyframe.sources.runs import history_long
 from tallyframe.storage import fresh_path
 
@@ -38,6 +40,15 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r9(c) for c in columns})
 
 
+def tagged(**tables: DataFrame) -> DataFrame:
+    """All tables in one, by name; a column that a table lacks is null in its rows."""
+    parts = [table.withColumn("part", F.lit(part)) for part, table in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def order_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_predictions(I.order_truth(spark, sf_dir))
 
@@ -871,10 +882,12 @@ def error_pipeline(spark, sf_dir):
     )
     encoder = labels.fit_encoder(labels.unpivot_labels(documents, ["row_idx"], ["lang"]))
     predictions = I.with_predictions(I.document_truth(spark, sf_dir), ("multi",))
-    found = analyse_errors(predictions, encoder, documents, k=5)["errors"]
-    return found.select(
-        "run", "row_idx", "true_label", "pred_label", F.md5("text").alias("digest"), "place"
+    out = analyse_errors(predictions, encoder, documents, k=5)
+    found = out["errors"].select(
+        "run", "task", "row_idx", "true_label", "pred_label", F.md5("text").alias("digest"), "place"
     )
+    report = rounded(out["report"], "precision", "recall", "f1", "support").drop("position")
+    return tagged(errors=found, report=report, matrix=out["matrix"])
 
 
 @register
@@ -892,4 +905,42 @@ def compare_pipeline(spark, sf_dir):
     out = compare_runs(
         predictions, ["lang", "half"], I.MULTI, I.SINGLE, REPLICATES, method="hash"
     )
-    return rounded(out["paired"], *PAIRED)
+    lists = F.transform("per_class_f1", lambda x: fixed_text(x, 6))
+    return tagged(
+        metrics=rounded(out["metrics"], "accuracy", "macro_f1", "weighted_f1").withColumn("per_class_f1", F.array_join(lists, " ")),
+        summary=rounded(out["summary"], "mean", "std", "min", "max"),
+        intervals=rounded(out["intervals"], "mean", "low", "high"),
+        paired=rounded(out["paired"], *PAIRED),
+    )
+
+
+@register
+def percentiles(spark, sf_dir):
+    """Prices by return flag and status: percentiles from counts, whatever the size of a group."""
+    shares = {"low": 0.025, "median": 0.5, "high": 0.975, "least": 0.0, "most": 1.0}
+    found = counted_percentiles.percentiles(
+        I.table(spark, sf_dir, "lineitem"), "l_extendedprice", shares, ["l_returnflag", "l_linestatus"]
+    )
+    return found.withColumns({c: F.round(c, 6) for c in shares})
+
+
+@register
+def number_texts(spark, sf_dir):
+    """Shares of line items as texts; quantities in 32nds are exact ties, prices in 200ths near ones."""
+    rows = I.table(spark, sf_dir, "lineitem").select(
+        fixed_text(F.col("l_quantity") / 32, 4).alias("exact"), fixed_text(F.col("l_extendedprice") / 200, 3, True).alias("near")
+    )
+    return rows.groupBy("exact", "near").agg(F.count("*").alias("n"))
+
+
+@register
+def appended_cells(spark, sf_dir):
+    """Cells of predictions that came in four batches, one of them first with other rows."""
+    predictions = order_predictions(spark, sf_dir)
+    path = fresh_path(spark, "cell-store")
+    batch = F.pmod("row_idx", F.lit(4))
+    cell_store.create_cells(predictions, path)
+    cell_store.put_batch(predictions.where(batch == 0), path, "3")
+    cell_store.put_batches(predictions, path, batch, ["0", "1", "2"])
+    cell_store.put_batch(predictions.where(batch == 3), path, "3")
+    return cell_store.stored_cells(spark, path)

@@ -652,17 +652,58 @@ ids AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS l
         FROM (SELECT DISTINCT lang FROM documents))
 SELECT lang_encoded, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, split
 FROM parted JOIN ids USING (lang) GROUP BY lang_encoded, split""",
-    "error_pipeline": _with(_DOC_TRUTH, _PREDICTIONS, _ERRORS) + """
+    "error_pipeline": _with(_DOC_TRUTH, _PREDICTIONS, _CELLS, _PER_CLASS, _METRICS, _ERRORS) + """
 , ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, task ORDER BY row_idx) AS INTEGER)
-             AS place FROM wrong WHERE prefix = 'multi')
-SELECT run, row_idx, list_extract(['de', 'en', 'es', 'fr'], y_true + 1) AS true_label,
+             AS place FROM wrong WHERE prefix = 'multi'),
+classes AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS class FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+lines AS (
+  SELECT run, task, lang AS label, precision_ AS precision, recall_ AS recall, f1, CAST(support AS DOUBLE) AS support
+  FROM per_class JOIN classes USING (class)
+  UNION ALL SELECT run, task, 'accuracy', accuracy, accuracy, accuracy, accuracy FROM metrics
+  UNION ALL SELECT run, task, 'macro avg', avg(precision_), avg(recall_), avg(f1), CAST(sum(support) AS DOUBLE) FROM per_class GROUP BY run, task
+  UNION ALL SELECT run, task, 'weighted avg', sum(precision_ * support) / sum(support), sum(recall_ * support) / sum(support),
+    sum(f1 * support) / sum(support), CAST(sum(support) AS DOUBLE) FROM per_class GROUP BY run, task),
+matrix AS (
+  SELECT r.run, 'lang' AS task, t.class AS y_true, p.class AS y_pred, coalesce(c.n, 0) AS n
+  FROM (SELECT DISTINCT run FROM predictions WHERE prefix = 'multi') r CROSS JOIN classes t CROSS JOIN classes p
+  LEFT JOIN cells c ON c.run = r.run AND c.y_true = t.class AND c.y_pred = p.class)
+SELECT 'errors' AS part, run, task, row_idx, list_extract(['de', 'en', 'es', 'fr'], y_true + 1) AS true_label,
   list_extract(['de', 'en', 'es', 'fr'], y_pred + 1) AS pred_label, md5(text) AS digest, place
-FROM ranked JOIN documents ON doc_id = row_idx WHERE place <= 5""",
+FROM ranked JOIN documents ON doc_id = row_idx WHERE place <= 5
+UNION ALL BY NAME
+SELECT 'report' AS part, run, task, label, round(precision, 9) + 0.0 AS precision, round(recall, 9) + 0.0 AS recall,
+  round(f1, 9) + 0.0 AS f1, round(support, 9) + 0.0 AS support FROM lines WHERE run LIKE 'multi%'
+UNION ALL BY NAME
+SELECT 'matrix' AS part, * FROM matrix""",
     "aligned_profiles": _with(_DOC_TRUTH, _PREDICTIONS) + f"""
 SELECT scope, code, count(*) AS n FROM (
   SELECT task AS scope, row_idx, concat_ws(',', max(y_true), {', '.join(
       f"coalesce(max(CASE WHEN run = '{r}' THEN coalesce(y_pred, -1) END), -2)" for r in (*MULTI, *SINGLE))}) AS code
   FROM predictions GROUP BY task, row_idx HAVING count(y_true) > 0)
 GROUP BY scope, code""",
-    "compare_pipeline": _PAIRED_MEAN_SQL,
+    "compare_pipeline": f"""
+SELECT 'paired' AS part, * FROM ({_PAIRED_MEAN_SQL})
+UNION ALL BY NAME
+SELECT 'intervals' AS part, * FROM ({_resample(_DOC_TRUTH_JOINT, "'multi'", joint=False).rstrip()},
+  means AS (SELECT task, b, avg(macro_f1) AS score FROM scores GROUP BY task, b)
+  SELECT task, {r9('avg(score)', 'mean')}, {r9('quantile_cont(score, 0.025)', 'low')}, {r9('quantile_cont(score, 0.975)', 'high')},
+    count(*) AS replicates FROM means GROUP BY task)
+UNION ALL BY NAME
+SELECT 'metrics' AS part, * FROM ({_with(_DOC_TRUTH_JOINT, _PREDICTIONS, _PER_CLASS, _METRICS)}
+  SELECT m.run, r.prefix, m.task, n, errors, {r9('accuracy', 'accuracy')}, {r9('macro_f1', 'macro_f1')}, {r9('weighted_f1', 'weighted_f1')}, per_class_f1
+  FROM metrics m JOIN all_runs r USING (run)
+  JOIN (SELECT run, task, string_agg(format('{{:.6f}}', f1), ' ' ORDER BY class) AS per_class_f1 FROM per_class GROUP BY ALL) l
+    ON l.run = m.run AND l.task = m.task)
+UNION ALL BY NAME
+SELECT 'summary' AS part, * FROM ({_with(_DOC_TRUTH_JOINT, _PREDICTIONS, _PER_CLASS, _METRICS).rstrip()},{_AGG}
+  SELECT prefix, task, {r9('mean', 'mean')}, {r9('std', 'std')}, {r9('lo', 'min')}, {r9('hi', 'max')}, n FROM agg)""",
+    "percentiles": """
+SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n,
+  round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+  round(quantile_cont(l_extendedprice, 0.975), 6) AS high, min(l_extendedprice) AS least, max(l_extendedprice) AS most
+FROM lineitem GROUP BY ALL""",
+    "number_texts": """
+SELECT format('{:.4f}', l_quantity / 32) AS exact, format('{:+.3f}', l_extendedprice / 200) AS near, count(*) AS n
+FROM lineitem GROUP BY ALL""",
+    "appended_cells": _ORDER_CELLS + "SELECT run, task, y_true, y_pred, n FROM cells",
 }
