@@ -102,3 +102,20 @@ def test_components_of_paths_and_stars(spark):
     got = {r.vertex: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(61)}) == len({got[100 + k] for k in range(40)}) == len({got[200], got[201]}) == 1
     assert len(set(got.values())) == 3 and 300 not in got
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_at_the_limit_of_a_link_share_a_block(percent):
+    """Pairs at the very limit of a link, of sparse and of large sets, meet in a block."""
+    rng = np.random.default_rng(percent)
+    for size in [*range(2, 130), 200, 333, 500, 777, 1200, 3000]:
+        for _ in range(8):
+            left = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            # Some are taken away and some added, as many in all as a link allows.
+            away = int(rng.integers(0, size * (100 - percent) // 100 + 1))
+            most = (len(left) - away) * 100 // percent - len(left)
+            added = rng.integers(0, 2**63, int(rng.integers(0, most + 1)) if rng.random() < 0.5 else most).astype(np.uint64)
+            right = np.unique(np.concatenate([rng.permutation(left)[away:], added]))
+            both = len(np.intersect1d(left, right))
+            if 100 * both >= percent * (len(left) + len(right) - both) and not np.array_equal(left, right):
+                assert len(np.intersect1d(J.block_keys(left, percent), J.block_keys(right, percent)))
