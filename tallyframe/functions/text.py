@@ -66,14 +66,15 @@ def fixed_text(number: Column, digits: int, plus: bool = False) -> Column:
     rounded = steps + up
     carried = F.floor(rounded / unit).cast("bigint")
     text = F.concat((whole + carried).cast("string"), F.lit("."), F.lpad((rounded - carried * unit).cast("string"), digits, "0"))
-    body = (
+    special = (
         F.when(F.isnan(number), "nan")
         .when(size == float("inf"), "inf")
         .when(size >= 2.0**63, F.format_string(f"%.{digits}f", size))
-        .otherwise(text)
     )
+    # The text is always made, outside of any condition: only there does Spark compute the parts that it names so often once.
+    kind = F.when(number.isNotNull(), F.when(size < 2.0**63, 0).otherwise(1))
     sign = F.when(number.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
-    return F.when(number.isNotNull(), F.concat(sign, body))
+    return F.concat(sign, F.get(F.array(text, special), kind))
 
 
 def mean_std_text(mean: Column, std: Column) -> Column:

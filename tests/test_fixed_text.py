@@ -47,3 +47,14 @@ def test_texts_of_results(spark):
 def test_digits_out_of_range():
     with pytest.raises(ValueError):
         fixed_text(None, 8)
+
+
+def test_code_is_small_enough_to_be_compiled(spark):
+    frame = spark.range(1).select((F.col("id") / 32).alias("x")).select(fixed_text(F.col("x"), 4), fixed_text(F.col("x") / 7, 3, True))
+    code = frame._jdf.queryExecution().debug().codegenToSeq()
+    assert code.size() > 0 and all(0 < code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
+
+
+def test_inside_a_lambda_and_null(spark):
+    frame = spark.createDataFrame([([0.125, None, -2.5],)], "xs array<double>")
+    assert frame.select(F.transform("xs", lambda x: fixed_text(x, 2))).first()[0] == ["0.12", None, "-2.50"]
