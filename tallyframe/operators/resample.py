@@ -14,7 +14,8 @@ Two ways to draw the counts, with the same law:
     each block, so no task ever holds all profiles.
 ``hash``
     One keyed hash per draw, reproducible in any SQL engine.  The cost is
-    replicates times rows; meant for cross-checks and modest row counts.
+    replicates times rows: a draw is hashed on arrays and shuffled as two bytes, its place in
+    a block of positions.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import hash60, stars
+from tallyframe.functions.keyed_numbers import hash60_of_numbers
 from tallyframe.operators.metrics import per_class
 from tallyframe.storage import settle
 
@@ -38,6 +41,10 @@ _PROFILES_PER_BLOCK = 4096
 _REPLICATES_PER_CHUNK = 25
 _DRAWS_PER_CHUNK = 4096
 _DRAWS_PER_TASK = 2_000_000
+_DRAWS_PER_PACKED_CHUNK = 1 << 20
+_DRAWS_PER_PACKED_TASK = 1 << 24
+_POSITIONS_PER_BLOCK = 1 << 16  # so that a place in a block has two bytes
+_REPLICATES_PER_GROUP = 250
 _BROADCAST_BYTES = 10 << 20
 
 _DRAWN = "slot int, b int, member int, y_true int, y_pred int, n bigint"
@@ -119,38 +126,84 @@ def profile_counts(
 
 
 def bootstrap_draws(
-    sizes: DataFrame, replicates: int, seed: int = 0, joint: bool = False
+    sizes: DataFrame, replicates: int, seed: int = 0, joint: bool = False, packed: bool = False
 ) -> DataFrame:
     """Positions drawn with replacement: one row per (scope, b, k) with ``at`` in ``[0, total)``.
 
     ``sizes`` has a row per scope with its ``total``; its other columns are kept.
     Draws depend on seed, scope, replicate and ``k`` alone - on seed, replicate
     and ``k`` when ``joint``, so that all scopes share them.
+
+    ``packed`` gives the same draws as rows (scope, b, block, places): those of some thousand ``k`` that fall into a
+    block of 65,536 positions, as two bytes each, the place in the block.
     """
+    per_chunk = _DRAWS_PER_PACKED_CHUNK if packed else _DRAWS_PER_CHUNK
+    per_task = _DRAWS_PER_PACKED_TASK if packed else _DRAWS_PER_TASK
     chunks = sizes.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
     ).select(
         "*",
-        F.explode(F.expr(f"sequence(0L, (total - 1) div {_DRAWS_PER_CHUNK})")).alias("chunk"),
+        F.explode(F.expr(f"sequence(0L, (total - 1) div {per_chunk})")).alias("chunk"),
     )
-    first = F.col("chunk") * _DRAWS_PER_CHUNK
-    last = F.least(first + _DRAWS_PER_CHUNK, F.col("total")) - 1
+    first = F.col("chunk") * per_chunk
+    upto = F.least(first + per_chunk, F.col("total"))
     # A count of its own, so that adaptive execution does not merge the few small
     # chunk rows into one task: each of them unfolds into thousands of draws.
     total = int(sizes.agg(F.sum("total")).first()[0] or 0)
     parts = max(
-        sizes.sparkSession.sparkContext.defaultParallelism, total * replicates // _DRAWS_PER_TASK
+        sizes.sparkSession.sparkContext.defaultParallelism, total * replicates // per_task
     )
     scope: list[Column] = [] if joint else [F.col("scope")]
+    chunks = chunks.repartition(parts, "scope", "b", "chunk")
+    if packed:
+        key = F.concat_ws("|", F.lit(str(seed)), *scope, F.col("b").cast("string"))
+        return _packed_draws(
+            chunks.select(*sizes.columns, "b", key.alias("_key"), first.alias("_first"), upto.alias("_upto")), sizes.columns
+        )
     text = [F.col(c).cast("string") for c in ("b", "k")]
     at = F.coalesce(hash60(str(seed), *scope, *text) % F.col("total"), F.lit(0))
     return (
-        chunks.repartition(parts, "scope", "b", "chunk")
-        .select(*sizes.columns, "b", F.explode(F.sequence(first, last)).alias("k"))
+        chunks.select(*sizes.columns, "b", F.explode(F.sequence(first, upto - 1)).alias("k"))
         .select("*", at.alias("at"))
     )
 
 
+def _packed_draws(chunks: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The draws ``_first`` up to ``_upto`` of each row under ``_key``, by block of positions."""
+    names = [*kept, "b"]
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            work = zip(*(batch.column(c).to_pylist() for c in ("_key", "_first", "_upto", "total")))
+            for row, (key, first, upto, total) in enumerate(work):
+                if upto <= first:
+                    continue
+                size = np.uint64(total)
+                at = np.concatenate([h - h // size * size for h in hash60_of_numbers(key, first, upto)])
+                block = (at // np.uint64(_POSITIONS_PER_BLOCK)).astype("int64")
+                place = (at % np.uint64(_POSITIONS_PER_BLOCK)).astype("<u2")
+                if total > _POSITIONS_PER_BLOCK:
+                    narrow = block.astype("uint16") if total <= _POSITIONS_PER_BLOCK << 16 else block
+                    by_block = np.argsort(narrow, kind="stable")
+                    block, place = block[by_block], place[by_block]
+                starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                ends = np.append(starts, len(block)).astype("<i4") * 2
+                places = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(place))]
+                )
+                same = pa.array(np.full(len(starts), row))
+                columns = [batch.column(c).take(same) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block[starts]), places], [*names, "block", "places"])
+
+    schema = T.StructType(
+        [*(chunks.schema[c] for c in names), T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType())]
+    )
+    return chunks.mapInArrow(draw, schema)
+
+
 def _scope_number(tasks: Sequence[str], joint: bool) -> Column:
     """Small integer standing for the scope: fixed-width keys are cheaper to group by."""
     if joint:
@@ -170,93 +223,119 @@ def _hash_cells(
 
     Profiles own consecutive positions, in the order of hashed blocks and of code
     inside a block, so that no window holds the profiles of more than one block.
-    A draw is a position; it finds its profile through a bucketed equi-join with
-    about as many buckets as profiles, which costs the same for any number of them.
+    A draw is a position.  The draws in 65,536 consecutive positions, of some replicates, meet the
+    profiles that own these and are counted there; only counts of cells go on.
     """
     dealt = profiles.withColumn("block", _code_block(F.col("code")))
     scope = Window.partitionBy("scope")
     upto = F.sum("n").over(scope.orderBy("block"))
-    held = F.sum("held").over(scope)
-    blocks = (
+    blocks = settle(
         dealt.groupBy("scope", "block")
         .agg(F.sum("n").alias("n"), F.count("*").alias("held"))
         .select(
             "scope",
+            _scope_number(tasks, joint).alias("slot"),
             "block",
+            "held",
             (upto - F.col("n")).alias("before"),
             F.sum("n").over(scope).alias("total"),
-            F.ceil(F.sum("n").over(scope) / (held * 4)).alias("width"),
-        )
+        ),
+        "blocks",
     )
-    inside = Window.partitionBy("scope", "block").orderBy("code")
-    within = F.sum("n").over(inside)
+    # There are at most 4096 blocks a scope; beside few profiles even these are not worth a broadcast.
+    profiles_held = int(blocks.agg(F.sum("held")).first()[0] or 0)
+    row_bytes = 8 * (len(runs) + 1) * (len(tasks) if joint else 1)
+    small = profiles_held * row_bytes <= _BROADCAST_BYTES
+    within = F.sum("n").over(Window.partitionBy("scope", "block").orderBy("code"))
     placed = (
-        dealt.select(
-            "scope",
-            "block",
-            "code",
-            _numbered(F.col("block"), F.row_number().over(inside)).alias("profile"),
-            (within - F.col("n")).alias("lo"),
-            within.alias("hi"),
-        )
-        .join(blocks, ["scope", "block"])
+        dealt.select("scope", "block", "code", "n", within.alias("hi"))
+        .join(blocks.select("scope", "slot", "block", "before").hint("broadcast" if small else "merge"), ["scope", "block"])
+        .select("slot", "code", (F.col("before") + F.col("hi") - F.col("n")).alias("lo"), (F.col("before") + F.col("hi")).alias("hi"))
+    )
+    wide = _POSITIONS_PER_BLOCK
+    start, end = F.greatest("lo", F.col("block") * wide), F.least("hi", (F.col("block") + 1) * wide)
+    pieces = (
+        placed.select("*", F.explode(F.expr(f"sequence(lo div {wide}, (hi - 1) div {wide})")).alias("block"))
         .select(
-            "scope",
-            _scope_number(tasks, joint).alias("slot"),
-            "code",
-            "profile",
-            *((F.col(c) + F.col("before")).alias(c) for c in ("lo", "hi")),
-            "total",
-            "width",
+            "slot", "block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _REPLICATES_PER_GROUP))).alias("part"),
+            "code", start.alias("start"), (end - start).alias("held"),
         )
     )
-    placed = settle(placed, "positions")
-    spans = placed.select(
-        "profile",
-        "lo",
-        "hi",
-        F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("bucket"),
-        "slot",
-    ).select("profile", "lo", "hi", _one_key("slot", "bucket").alias("key"))
-    sizes = placed.groupBy("scope", "slot").agg(
-        F.max("total").alias("total"), F.max("width").alias("width"), F.count("*").alias("held")
+    sizes = blocks.groupBy("scope", "slot").agg(F.max("total").alias("total"))
+    draws = bootstrap_draws(sizes, replicates, seed, joint, packed=True).select(
+        F.col("slot").alias("of_slot"), F.col("block").alias("of_block"),
+        F.expr(f"b div {_REPLICATES_PER_GROUP}").cast("int").alias("of_part"), "b", "places",
     )
-    profiles_held = int(sizes.agg(F.sum("held")).first()[0] or 0)
-    draws = bootstrap_draws(sizes, replicates, seed, joint).select(
-        "slot", "b", "at", F.coalesce(F.expr("at div width"), F.lit(0)).alias("bucket")
-    )
-    draws = draws.select("slot", "b", "at", _one_key("slot", "bucket").alias("key"))
-    # The planner cannot see how far the draws unfold and would broadcast *them*.
-    # There are at most five spans per profile, and the profiles were just counted, so the bytes are known.
-    row_bytes = 5 * 48 + 8 * (len(runs) + 1) * (len(tasks) if joint else 1)
-    small = profiles_held * row_bytes <= _BROADCAST_BYTES
-    counts = (
-        draws.join(spans.hint("broadcast" if small else "merge"), "key")
-        .where("at >= lo AND at < hi")
-        .groupBy("slot", "b", "profile")
-        .agg(F.count("*").alias("n"))
-        .select("b", "n", _one_key("slot", "profile").alias("key"))
+    members, starts = len(runs), range(0, (len(runs) + 1) * len(tasks), len(runs) + 1)
+
+    def count(key, drawn, owners):
+        import numpy as np
+
+        parts = []
+        if drawn.num_rows and owners.num_rows:
+            owners = owners.sort_by("start")
+            flat = np.concatenate([c.flatten() for c in owners.column("code").chunks])
+            code = flat.reshape(owners.num_rows, -1).astype("int64")
+            owner = np.repeat(np.arange(len(code)), np.asarray(owners.column("held")))
+            slots = list(enumerate(starts)) if joint else [(key[0].as_py(), 0)]
+            found = {}
+            for b, places in zip(drawn.column("b").to_pylist(), drawn.column("places")):
+                found.setdefault(b, []).append(np.frombuffer(places.as_buffer(), dtype="<u2"))
+            numbers = np.array(sorted(found))
+            for first in range(0, len(numbers), _REPLICATES_PER_CHUNK):
+                some = numbers[first : first + _REPLICATES_PER_CHUNK]
+                times = np.stack([sum(np.bincount(owner[p], minlength=len(code)) for p in found[b]) for b in some.tolist()])
+                parts += _reduced(code, times, some, slots, members)
+        return _drawn_table(parts)
+
+    cells = (
+        draws.groupBy("of_slot", "of_block", "of_part")
+        .cogroup(pieces.groupBy("slot", "block", "part"))
+        .applyInArrow(count, _DRAWN)
     )
-    codes = placed.select(_one_key("slot", "profile").alias("key"), "slot", "code")
-    counts = counts.join(codes.hint("broadcast" if small else "merge"), "key")
+    return cells.groupBy("slot", "b", "member", "y_true", "y_pred").agg(F.sum("n").alias("n"))
 
-    if joint:
-        width = len(runs) + 1
-        pieces = F.array(*(F.slice("code", i * width + 1, width) for i in range(len(tasks))))
-        counts = counts.select("b", "n", F.posexplode(pieces).alias("slot", "code"))
-    answers = counts.select(
-        "slot", "b", "n",
-        F.element_at("code", 1).alias("y_true"),
-        F.slice("code", 2, len(runs)).alias("answers"),
-    ).select("slot", "b", "n", "y_true", F.posexplode("answers").alias("member", "answer"))
-    answers = answers.where(F.col("answer") != NO_RUN)
-    return (
-        answers.groupBy("slot", "b", "member", "y_true", "answer")
-        .agg(F.sum("n").alias("n"))
-        .select(
-            "slot", "b", "member", "y_true",
-            F.when(F.col("answer") != NO_PREDICTION, F.col("answer")).alias("y_pred"), "n",
-        )
+
+def _reduced(code, drawn, numbers, places, members):
+    """The draws of profiles as counts of (slot, replicate, run, truth, answer)."""
+    import numpy as np
+
+    parts = []
+    for slot, start in places:
+        truth = code[:, start]
+        for member in range(members):
+            answer = code[:, start + 1 + member]
+            if answer[0] == NO_RUN:
+                continue
+            base = int(answer.max()) + 2
+            pair = truth * base + answer + 1
+            by_pair = np.argsort(pair, kind="stable")
+            distinct, starts = np.unique(pair[by_pair], return_index=True)
+            sums = np.add.reduceat(drawn[:, by_pair], starts, axis=1)
+            at, cell = np.nonzero(sums)
+            rows = (
+                np.full(len(at), slot), numbers[at], np.full(len(at), member),
+                distinct[cell] // base, distinct[cell] % base - 1, sums[at, cell],
+            )
+            parts.append(np.stack(rows))
+    return parts
+
+
+def _drawn_table(parts):
+    """Counts as a table of ``_DRAWN``."""
+    import numpy as np
+    import pyarrow as pa
+
+    slot, b, member, y_true, y_pred, n = np.concatenate(parts or [np.empty((6, 0), int)], axis=1)
+    return pa.table(
+        {
+            "slot": pa.array(slot, pa.int32()),
+            "b": pa.array(b, pa.int32()),
+            "member": pa.array(member, pa.int32()),
+            "y_true": pa.array(y_true, pa.int32()),
+            "y_pred": pa.array(y_pred, pa.int32(), mask=y_pred < 0),
+            "n": pa.array(n, pa.int64()),
+        }
     )
 
 
@@ -265,16 +344,6 @@ def _code_block(code: Column) -> Column:
     return F.substring(F.md5(F.array_join(code.cast("array<string>"), ",")), 1, 3)
 
 
-def _numbered(block: Column, place: Column) -> Column:
-    """A number for the profile at a place of a block, under 2^40."""
-    return F.shiftleft(F.conv(block, 16, 10).cast("bigint"), 28) + place
-
-
-def _one_key(slot: str, number: str) -> Column:
-    """Slot and number in one BIGINT (numbers stay under 2^40), declared non-null."""
-    return F.coalesce(F.shiftleft(F.col(slot).cast("bigint"), 40) + F.col(number), F.lit(-1))
-
-
 def _block_paths(dealt: DataFrame) -> DataFrame:
     """(of_scope, of_block, path): per level of the binary tree of blocks, the rows left and in all below the node above.
 
@@ -326,7 +395,7 @@ def _multinomial_cells(
     dealt = profiles.withColumn("levels", known[F.col("scope")]).withColumn(
         "block", F.expr("cast(pmod(xxhash64(code), shiftleft(1L, levels)) as int)")
     )
-    width = len(runs) + 1
+    width, members = len(runs) + 1, len(runs)
     # Tasks of a profile, each with the place of its truth in the code.
     slots = {
         s: list(enumerate(range(0, width * len(tasks), width))) if joint else [(list(tasks).index(s), 0)]
@@ -335,7 +404,6 @@ def _multinomial_cells(
 
     def draw(key, table, path):
         import numpy as np
-        import pyarrow as pa
 
         scope, block = (v.as_py() for v in key)
         flat = np.concatenate([c.flatten() for c in table.column("code").chunks])
@@ -357,42 +425,8 @@ def _multinomial_cells(
             for i, b in enumerate(numbers):
                 inner = np.random.default_rng([seed, mark, int(b), block, 1 << 20])
                 drawn[i] = inner.multinomial(int(mine[b]), n / n.sum())
-            parts += reduced(code, drawn, numbers, slots[scope])
-        slot, b, member, y_true, y_pred, n = np.concatenate(parts or [np.empty((6, 0), int)], axis=1)
-        return pa.table(
-            {
-                "slot": pa.array(slot, pa.int32()),
-                "b": pa.array(b, pa.int32()),
-                "member": pa.array(member, pa.int32()),
-                "y_true": pa.array(y_true, pa.int32()),
-                "y_pred": pa.array(y_pred, pa.int32(), mask=y_pred < 0),
-                "n": pa.array(n, pa.int64()),
-            }
-        )
-
-    def reduced(code, drawn, numbers, places):
-        """The draws of profiles as counts of (slot, replicate, run, truth, answer)."""
-        import numpy as np
-
-        parts = []
-        for slot, start in places:
-            truth = code[:, start]
-            for member in range(len(runs)):
-                answer = code[:, start + 1 + member]
-                if answer[0] == NO_RUN:
-                    continue
-                base = int(answer.max()) + 2
-                pair = truth * base + answer + 1
-                by_pair = np.argsort(pair, kind="stable")
-                distinct, starts = np.unique(pair[by_pair], return_index=True)
-                sums = np.add.reduceat(drawn[:, by_pair], starts, axis=1)
-                at, cell = np.nonzero(sums)
-                rows = (
-                    np.full(len(at), slot), numbers[at], np.full(len(at), member),
-                    distinct[cell] // base, distinct[cell] % base - 1, sums[at, cell],
-                )
-                parts.append(np.stack(rows))
-        return parts
+            parts += _reduced(code, drawn, numbers, slots[scope], members)
+        return _drawn_table(parts)
 
     # Adaptive merging would put many blocks into one task; each is a good deal of work.
     shuffled = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators import resample
 from tallyframe.operators.resample import (
     MEAN_TASK,
     bootstrap_ci,
+    bootstrap_draws,
     compare_paired,
     paired_deltas,
     profile_counts,
@@ -152,3 +154,29 @@ def test_runs_that_cannot_be_paired_are_refused(predictions):
         profile_counts(moved, ["x"], ["c1", "b1"])
     with pytest.raises(ValueError, match="lacks some examples"):
         profile_counts(predictions.where("NOT (run = 'b1' AND row_idx = 3)"), ["x"], ["c1", "b1"])
+
+
+@pytest.mark.parametrize("joint", [False, True])
+def test_packed_draws_are_the_draws(table, joint):
+    sizes = table("scope string, total bigint, slot int", ("a", 70_000, 0), ("b|ü", 131_073, 1), ("c", 3, 2))
+    plain = bootstrap_draws(sizes, 2, 7, joint).groupBy("slot", "b").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    packed = bootstrap_draws(sizes, 2, 7, joint, packed=True).collect()
+    found = {}
+    for r in packed:
+        found.setdefault((r.slot, r.b), []).append(np.frombuffer(r.places, dtype="<u2").astype("int64") + r.block * 65_536)
+    assert {k: np.sort(np.concatenate(v)).tolist() for k, v in found.items()} == {(r.slot, r.b): r["at"] for r in plain.collect()}
+
+
+def test_keyed_draws_are_the_same_in_any_blocks_and_are_not_shuffled_one_by_one(spark, monkeypatch):
+    rows = spark.range(900).select(
+        F.explode(F.array(F.lit("r"), F.lit("s"))).alias("run"), F.lit("t").alias("task"), F.col("id").alias("row_idx"),
+        (F.col("id") % 3).cast("int").alias("y_true"), F.when(F.col("id") % 7 > 0, F.hash("id", "run") % 2 + 1).alias("y_pred"),
+    )
+    one = replicate_scores(rows, ["t"], ["r", "s"], 30, 1, "hash").orderBy("b", "run").collect()
+    monkeypatch.setattr(resample, "_POSITIONS_PER_BLOCK", 64)
+    monkeypatch.setattr(resample, "_REPLICATES_PER_GROUP", 7)
+    monkeypatch.setattr(resample, "_DRAWS_PER_PACKED_CHUNK", 100)
+    scores = replicate_scores(rows, ["t"], ["r", "s"], 30, 1, "hash")
+    assert "at#" not in scores._jdf.queryExecution().executedPlan().toString()
+    many = scores.orderBy("b", "run").collect()
+    assert [r[:3] for r in many] == [r[:3] for r in one] and [r.macro_f1 for r in many] == pytest.approx([r.macro_f1 for r in one])
