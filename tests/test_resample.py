@@ -13,6 +13,7 @@ from tallyframe.operators.resample import (
     compare_paired,
     paired_deltas,
     profile_counts,
+    replicate_counts,
     replicate_scores,
 )
 
@@ -180,3 +181,24 @@ def test_keyed_draws_are_the_same_in_any_blocks_and_are_not_shuffled_one_by_one(
     assert "at#" not in scores._jdf.queryExecution().executedPlan().toString()
     many = scores.orderBy("b", "run").collect()
     assert [r[:3] for r in many] == [r[:3] for r in one] and [r.macro_f1 for r in many] == pytest.approx([r.macro_f1 for r in one])
+
+
+def test_blocks_counted_together_give_the_same_counts(spark, monkeypatch):
+    rows = spark.range(900).select(
+        F.lit("r").alias("run"), F.lit("t").alias("task"), F.col("id").alias("row_idx"),
+        (F.col("id") % 30).cast("int").alias("y_true"), F.pmod(F.hash("id"), F.lit(30)).alias("y_pred"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    try:
+        found = []
+        for together in (1, 32):
+            monkeypatch.setattr(resample, "_BLOCKS_PER_BUNDLE", together)
+            counts = replicate_counts(rows, ["t"], ["r"], 30, 1, profiles_per_block=4)
+            found.append(sorted(counts.collect(), key=str))
+            plan = counts._jdf.queryExecution().executedPlan().toString()
+            assert "bundle" in plan
+        assert found[0] == found[1] and sum(r.n for r in found[0]) == 900 * 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
