@@ -4,7 +4,7 @@ The distinct pre-tokens of a batch become (word, position, token) rows.  A recur
 tokens with the merge table, finds the least rank of each word and contracts its leftmost pair of that rank, until
 no word has a pair left.  Where the vocabulary shows that no contraction can make a pair of lower rank, all
 separate pairs of that rank in a word are contracted in the same step, which gives the same tokens.  Decoding
-joins ids with their bytes and aggregates them in order.
+takes the bytes of every id from the table of spellings and joins them in order.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 import base64
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,20 +31,28 @@ _MEMORY = "300MB"
 
 # Words of up to this many bytes take one contraction a step; their rows have the key 64 * word + position.
 _SHORT = 62
+# The follower of a word's last token.
+_NONE = (1 << 32) - 1
 
+# A row knows its token and the next one as a pair, so no join of neighbours is needed: of two contracted rows the second
+# stays, whose follower is right already, and only the row before them gets a new one.
 _CONTRACT_SHORT = """
-WITH RECURSIVE step(key, token, round) AS (
-  SELECT key, token, 0 FROM start
+WITH RECURSIVE step(key, pair, round) AS (
+  SELECT key, pair, 0 FROM start
   UNION ALL
   (WITH best AS (
-    SELECT a.key // 64 AS word, min(m.rank * 64 + a.key % 64) AS choice
-    FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = a.token * 4294967296 + b.token
+    SELECT s.key // 64 AS word, min(m.rank * 64 + s.key % 64) AS choice
+    FROM step s JOIN merges m ON m.pair = s.pair
     GROUP BY 1)
   SELECT CASE WHEN s.key % 64 > choice % 64 THEN s.key - 1 ELSE s.key END,
-         CASE WHEN s.key % 64 = choice % 64 THEN choice // 64 ELSE s.token END, s.round + 1
+         CASE s.key % 64 - choice % 64
+           WHEN 1 THEN choice // 64 * 4294967296 + s.pair % 4294967296
+           WHEN -1 THEN s.pair // 4294967296 * 4294967296 + choice // 64
+           ELSE s.pair END,
+         s.round + 1
   FROM step s JOIN best ON best.word = s.key // 64
-  WHERE s.key % 64 <> choice % 64 + 1))
-SELECT key // 64 AS word, token
+  WHERE s.key % 64 <> choice % 64))
+SELECT key // 64 AS word, pair // 4294967296 AS token
 FROM step JOIN (SELECT key // 64 AS word, max(round) AS last FROM step GROUP BY 1) ON word = key // 64 AND round = last
 ORDER BY key
 """
@@ -74,11 +84,6 @@ QUALIFY round = max(round) OVER (PARTITION BY word)
 ORDER BY word, pos
 """
 
-_DECODE = """
-SELECT doc, unhex(string_agg(spelling, '' ORDER BY pos)) AS bytes
-FROM ids JOIN spellings USING (token) GROUP BY doc ORDER BY doc
-"""
-
 
 class Ranks:
     """A rank file: the bytes of every token, and the pairs that can be contracted."""
@@ -98,7 +103,9 @@ class Ranks:
         # A token is free if no pair that it is part of has a lower rank than its own.
         bound = np.concatenate([first[rank < first], second[rank < second]])
         self.merges = pa.table({"pair": (first << 32) + second, "rank": rank, "free": ~np.isin(rank, bound)})
-        self.spellings = pa.table({"token": list(ranks.values()), "spelling": [b.hex() for b in ranks]})
+        spelled = sorted((rank, whole) for whole, rank in ranks.items())
+        self.tokens = np.array([rank for rank, _ in spelled], dtype=np.int64)
+        self.spellings = pa.array([whole for _, whole in spelled], pa.large_binary())
 
     @classmethod
     def from_file(cls, path: str) -> Ranks:
@@ -114,13 +121,12 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.dense = np.array_equal(ranks.tokens, np.arange(len(ranks.tokens)))
         # Spills go to the task's own temporary folder and end with the connection.
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": _MEMORY, "temp_directory": tempfile.gettempdir()})
         self.sql.execute("SET preserve_insertion_order = false")
         self.sql.register("given_merges", ranks.merges)
-        self.sql.register("given_spellings", ranks.spellings)
         self.sql.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
-        self.sql.execute("CREATE TABLE spellings AS SELECT * FROM given_spellings")
         self._clear()
 
     def _clear(self) -> None:
@@ -144,7 +150,10 @@ class Codec:
         pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         token = self.ranks.byte_token[np.frombuffer(b"".join(words), dtype=np.uint8)]
         short = size[word] <= _SHORT
-        done = [self._query(_CONTRACT_SHORT, start=pa.table({"key": word[short] * 64 + pos[short], "token": token[short]}))]
+        follower = np.append(token[1:], _NONE)
+        follower[np.cumsum(size)[size > 0] - 1] = _NONE
+        pair = (token << 32) + follower
+        done = [self._query(_CONTRACT_SHORT, start=pa.table({"key": word[short] * 64 + pos[short], "pair": pair[short]}))]
         state = pa.table({"word": word[~short], "pos": pos[~short], "token": token[~short]})
         while state.num_rows:
             reached = self._query(_CONTRACT_LONG, start=state)
@@ -161,7 +170,7 @@ class Codec:
         if len(self.index) > _HELD_WORDS:
             self._clear()
         lists = [self.pattern.findall(t) for t in texts]
-        words = [w for each in lists for w in each]
+        words = list(chain.from_iterable(lists))
         new = list(set(words).difference(self.index))
         if new:
             # A word that is a token as a whole is that token, whether merges lead to it or not.
@@ -186,12 +195,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Bytes of every text."""
-        rows = pa.table({"doc": np.repeat(np.arange(len(sizes)), sizes), "pos": np.arange(len(ids)), "token": ids})
-        found = self._query(_DECODE, ids=rows)
-        out = [b""] * len(sizes)
-        for doc, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist()):
-            out[doc] = text
-        return out
+        at = ids if self.dense else np.searchsorted(self.ranks.tokens, ids)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        spelled = pa.LargeListArray.from_arrays(ends, self.ranks.spellings.take(pa.array(at)))
+        return pc.binary_join(spelled, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 def bpe_round_trip(docs: DataFrame, ranks: Ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -101,6 +102,23 @@ def test_any_merge_table(seed):
     assert ids.tolist() == [i for t in texts for i in plain.encode_ordinary(t)]
 
 
+def test_neighbours_are_not_joined(ranks):
+    """A step joins the rows with the merges and with the best pairs, not with their neighbours too."""
+    codec = Codec(ranks, public_tokenizers.PATTERN)
+    pair = (int(ranks.byte_token[ord("a")]) << 32) + duck_bpe._NONE
+    codec.sql.register("start", pa.table({"key": [0], "pair": [pair]}))
+    ((_, plan),) = codec.sql.sql("EXPLAIN " + duck_bpe._CONTRACT_SHORT).fetchall()
+    assert plan.upper().replace(" ", "_").count("HASH_JOIN") == 3
+
+
+def test_ranks_with_gaps():
+    wide = Ranks({bytes([b]): 3 * b + 7 for b in range(256)} | {b"ab": 5000, b"abc": 90000})
+    codec = Codec(wide, r"\p{L}+")
+    texts = ["abcab é", "", "cab"]
+    ids, sizes = codec.encode(texts)
+    assert ids.tolist()[:2] == [90000, 5000] and codec.decode(ids, sizes) == ["abcabé".encode(), b"", b"cab"]
+
+
 def test_round_trip_of_rows(table, ranks):
     rows = [(1, "Hello world"), (1, "Hello world"), (None, None), (2, ""), (3, "x" * 3000 + " é")]
     docs = table("doc_id long, text string, ids int, decoded int", *((i, t, 1, 1) for i, t in rows))
