@@ -190,16 +190,19 @@ def _phrase_scan(seed: int, most: int, fields):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded in _chunks(batches, _Coded(seed, spell=False)):
             codes, joined = np.concatenate(coded.codes), np.concatenate(coded.joined)
-            whole = np.ones(len(codes), dtype=bool)
+            whole, ids = np.ones(len(codes), dtype=bool), pd.factorize(codes)[0]
             for size in range(2, most + 1):
                 whole = whole[: len(codes) - size + 1] & joined[size - 1 :]
                 if size in fields.value and len(whole):
-                    yield from _count_size(codes, np.flatnonzero(whole), size, most, *fields.value[size])
+                    yield from _count_size(codes, ids, np.flatnonzero(whole), size, most, *fields.value[size])
 
     return run
 
 
-def _count_size(codes: np.ndarray, at: np.ndarray, size: int, most: int, reached: Field, late: Field) -> Iterator[pa.RecordBatch]:
+def _count_size(
+    codes: np.ndarray, ids: np.ndarray, at: np.ndarray, size: int, most: int, reached: Field, late: Field
+) -> Iterator[pa.RecordBatch]:
+    """Counts of the active ones of the phrases that start ``at``; ``ids`` are dense numbers of the codes."""
     hashes = _window_hashes(codes, size - 1)
     frequent = reached.may_hold(hashes)
     at = at[frequent[at] & frequent[at + 1]]
@@ -207,11 +210,9 @@ def _count_size(codes: np.ndarray, at: np.ndarray, size: int, most: int, reached
     at = at[recent[at] | recent[at + 1]]
     if not len(at):
         return
-    ids, unique = pd.factorize(codes[at[:, None] + np.arange(size)].ravel())
-    ids = ids.reshape(-1, size)
-    phrase = ids[:, 0]
+    phrase, words = ids[at], ids.max() + 1
     for j in range(1, size):
-        phrase = pd.factorize(phrase * np.int64(len(unique)) + ids[:, j])[0]
+        phrase = pd.factorize(phrase * words + ids[at + j])[0]
     place, counts = _counted(phrase, at)
     columns = [codes[place + j].view(np.int64) for j in range(size)] + [np.zeros(len(place), dtype=np.int64)] * (most - size)
     yield from _batches([pa.array(np.full(len(place), size, dtype=np.int32)), *map(pa.array, columns), pa.array(counts)], ["size", *_words(most), "n"])
@@ -247,7 +248,8 @@ def _merged(state: DataFrame | None, counts: DataFrame, shard: int, shards: int,
     rows = counts.select(*keys, "n", *(F.lit(0).cast("bigint").alias(f"c{s}") for s in range(shards)), none.cast("int").alias("reach"))
     if state is not None:
         rows = rows.unionByName(state.select(*keys, F.lit(0).cast("bigint").alias("n"), *(f"c{s}" for s in range(shards)), "reach"))
-    sums = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.max(f"c{s}").alias(f"c{s}") for s in range(shards)), F.min("reach").alias("reach"))
+    # Tasks have combined their counts, and most phrases are rare: nothing is left to combine before the exchange.
+    sums = rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.max(f"c{s}").alias(f"c{s}") for s in range(shards)), F.min("reach").alias("reach"))
     held = sums.withColumn(f"c{shard}", F.greatest("n", f"c{shard}")).drop("n")
     return held.withColumn("reach", F.coalesce("reach", F.when(_total(shards) >= threshold, F.lit(step))))
 

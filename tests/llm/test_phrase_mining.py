@@ -91,3 +91,12 @@ def test_clash_of_codes_is_found_and_coded_anew(spark, monkeypatch):
     with pytest.raises(AttributeError):
         mine_phrases(None)
     assert seeds == [0, 1, 2]
+
+
+def test_counts_are_not_combined_again_before_the_exchange(table):
+    counts = table("size int, w1 long, w2 long, w3 long, n long", (2, 1, 2, 0, 6), (2, 1, 2, 0, 5), (2, 1, 3, 0, 1))
+    state = phrase_mining._merged(None, counts, 0, 2, 3, 1, 10)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("Exchange hashpartitioning")
+    again = phrase_mining._merged(state, counts.where("n = 1"), 1, 2, 3, 2, 10)
+    assert sorted((r.w2, r.c0, r.c1, r.reach) for r in again.collect()) == [(2, 11, 0, 1), (3, 1, 1, None)]
