@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import bloom
 from tallyframe.llm.components import components
-from tallyframe.storage import settle
+from tallyframe.storage import settle, settle_only
 
 #: Edits allowed from so many characters on; shorter lines are only compared for equality.
 EDITS = ((20, 1), (40, 2))
@@ -466,9 +466,8 @@ def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
     return settle(once.withColumns(told), "distinct-lines")
 
 
-def find_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, dropped): positions (from 0) of the lines of each document to drop; docs: (id, k1, k2, text)."""
-    found = _lines(docs)
+def _classes(found: DataFrame) -> DataFrame:
+    """(h1, h2, stays): lines that are there more than once or have near copies, and the place of the one that stays."""
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2", "pos")
     lines = settle(
         found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()),
@@ -479,10 +478,15 @@ def find_duplicate_lines(docs: DataFrame) -> DataFrame:
     labels = components(links.join(node("a"), ["h1a", "h2a"]).join(node("b"), ["h1b", "h2b"]))
     named = lines.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
     firsts = named.where("label is not null").groupBy("label").agg(F.min("place").alias("first"))
-    classes = named.join(firsts, "label", "left").where("n > 1 or label is not null").select(
+    return named.join(firsts, "label", "left").where("n > 1 or label is not null").select(
         "h1", "h2", F.coalesce("first", "place").alias("stays")
     )
-    classes = settle(classes, "line-classes")
+
+
+def find_duplicate_lines(docs: DataFrame) -> DataFrame:
+    """(k1, k2, dropped): positions (from 0) of the lines of each document to drop; docs: (id, k1, k2, text)."""
+    found = _lines(docs)
+    classes = settle_only(docs.sparkSession, lambda: _classes(found), "line-classes")
     return (
         found.drop("line").join(classes, ["h1", "h2"])
         .where(~((F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2")) & (F.col("pos") == F.col("stays.pos"))))

@@ -12,10 +12,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+# Folder of what is written only to make one table, while that is made.
+_PASSING: ContextVar[str | None] = ContextVar("passing", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_PASSING.get() or scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
@@ -46,6 +50,23 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_only(spark: SparkSession, make: Callable[[], DataFrame], label: str = "settled") -> DataFrame:
+    """The table that ``make`` returns, settled; all that was settled on the way is deleted once it is written.
+
+    Whatever else is read after ``make`` must not come from tables that it settled.
+    """
+    path = fresh_path(spark, label)
+    outer = _PASSING.set(f"{path}-made")
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _PASSING.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-made")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
