@@ -60,10 +60,20 @@ def differing(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
+def _enough(differ: int) -> int:
+    """Segments for sets that differ in so many shingles: an eighth more, as those that chance leaves empty are of no use."""
+    return differ + differ // 8 + 3
+
+
+def _served(count: int) -> int:
+    """Most differing shingles for which so many segments are enough."""
+    return (8 * (count - 3) + 7) // 9
+
+
 def _segment_counts(size: int, percent: int) -> list[int]:
     """Numbers of segments under which a set of ``size`` meets all its partners, smaller and larger ones."""
     low = -(-size * percent // 100)
-    least = [differing(s, percent) + 3 for s in (low, size)]
+    least = [_enough(differing(s, percent)) for s in (low, size)]
     out, count = [], 4
     while True:
         if count >= least[0]:
@@ -88,8 +98,8 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         sums = np.add.reduceat(value[order], starts)
         keys.append(S.mix(sums + S.mix(ordered[starts] + np.uint64(count << 32))))
-        # This count serves pairs that differ in count - 3 shingles at most; with more filled segments one stays equal.
-        if len(starts) <= min(most, count - 3):
+        # With more filled segments than shingles that differ, one stays equal.
+        if len(starts) <= min(most, _served(count)):
             keys.append(S.mix(np.array([count], dtype=np.uint64) ^ np.uint64(0x1234567)))
     return np.concatenate(keys)
 

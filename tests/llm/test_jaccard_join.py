@@ -119,3 +119,17 @@ def test_sets_at_the_limit_of_a_link_share_a_block(percent):
             both = len(np.intersect1d(left, right))
             if 100 * both >= percent * (len(left) + len(right) - both) and not np.array_equal(left, right):
                 assert len(np.intersect1d(J.block_keys(left, percent), J.block_keys(right, percent)))
+
+
+def test_sets_of_ordinary_sizes_stay_out_of_the_common_blocks():
+    """Chance leaves some segments empty; that must not put large sets, whose pairs all meet there, into one block."""
+    rng, inside = np.random.default_rng(5), 0
+    for size in range(40, 2000, 7):
+        one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        common = [J.S.mix(np.array([c], dtype=np.uint64) ^ np.uint64(0x1234567))[0] for c in J._segment_counts(size, 80)]
+        inside += bool(np.isin(common, J.block_keys(one, 80)).any())
+    assert inside <= 2
+
+
+def test_enough_segments_serve_all_sizes():
+    assert all(max(d for d in range(c) if J._enough(d) <= c) <= J._served(c) for c in range(4, 1500))
