@@ -242,16 +242,27 @@ def _unfinished(most: int, fields):
 
 
 def _merged(state: DataFrame | None, counts: DataFrame, shard: int, shards: int, most: int, step: int, threshold: int) -> DataFrame:
-    """Counts by shard and the step at which they reached the threshold; a shard counted again has the same counts."""
-    none = F.lit(None).cast("bigint")
+    """Counts by shard and the step at which they reached the threshold, or else (``born``) were first counted; a shard counted again has the same counts."""
     keys = ["size", *_words(most)]
-    rows = counts.select(*keys, "n", *(F.lit(0).cast("bigint").alias(f"c{s}") for s in range(shards)), none.cast("int").alias("reach"))
+    # One column in the exchange for both steps; the larger one is right, as what has been reached has no sign.
+    rows = counts.select(*keys, "n", *(F.lit(0).cast("bigint").alias(f"c{s}") for s in range(shards)), F.lit(-1 - step).alias("mark"))
     if state is not None:
-        rows = rows.unionByName(state.select(*keys, F.lit(0).cast("bigint").alias("n"), *(f"c{s}" for s in range(shards)), "reach"))
+        mark = F.coalesce("reach", -1 - F.col("born")).alias("mark")
+        rows = rows.unionByName(state.select(*keys, F.lit(0).cast("bigint").alias("n"), *(f"c{s}" for s in range(shards)), mark))
     # Tasks have combined their counts, and most phrases are rare: nothing is left to combine before the exchange.
-    sums = rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.max(f"c{s}").alias(f"c{s}") for s in range(shards)), F.min("reach").alias("reach"))
+    sums = rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.max(f"c{s}").alias(f"c{s}") for s in range(shards)), F.max("mark").alias("mark"))
     held = sums.withColumn(f"c{shard}", F.greatest("n", f"c{shard}")).drop("n")
-    return held.withColumn("reach", F.coalesce("reach", F.when(_total(shards) >= threshold, F.lit(step))))
+    reach = F.when(F.col("mark") >= 0, F.col("mark")).when(_total(shards) >= threshold, F.lit(step))
+    return held.select(*keys, *(f"c{s}" for s in range(shards)), reach.alias("reach"), F.when(reach.isNull(), -1 - F.col("mark")).alias("born"))
+
+
+def _still_open(state: DataFrame, shards: int, step: int) -> DataFrame:
+    """Drops phrases below the threshold that have been counted in all shards, or were counted too early by a false hit and will be anew.
+
+    With two shards, what was first counted at ``step`` - 1 is not active after ``step`` unless its active time only begins then.  With
+    more, a phrase could be dropped in the midst of its active time, so :func:`_unfinished` alone decides.
+    """
+    return state.where(F.col("reach").isNotNull() | (F.col("born") > step - shards + 1)) if shards <= 2 else state
 
 
 def _merged_words(state: DataFrame | None, counts: DataFrame, step: int, threshold: int) -> DataFrame:
@@ -281,7 +292,7 @@ def count_phrases(
         shard = step % shards
         if fields:
             counts = scanned(shard).mapInArrow(_phrase_scan(seed, most, shared), schema)
-            phrases = settle(_merged(carried, counts, shard, shards, most, step, threshold), "phrases")
+            phrases = settle(_still_open(_merged(carried, counts, shard, shards, most, step, threshold), shards, step), "phrases")
             shared.destroy()
         if step < shards:
             counts = scanned(shard).mapInArrow(_word_scan(seed), "w1 bigint, lang string, word string, n bigint")
@@ -302,7 +313,8 @@ def count_phrases(
                 fields[size] = field_of(shorter, size - 1), late
         if fields:
             shared = context.broadcast(fields)
-            carried = None if phrases is None else phrases.mapInArrow(_unfinished(most, shared), phrases.schema)
+            # Until each shard has been scanned once, nothing is finished.
+            carried = phrases if phrases is None or step <= shards else phrases.mapInArrow(_unfinished(most, shared), phrases.schema)
     words = words.select("w1", "least.lang", "least.word", "n")
     if phrases is None:
         phrases = docs.sparkSession.createDataFrame([], f"{schema}, reach int").drop("reach")

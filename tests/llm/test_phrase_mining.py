@@ -100,3 +100,14 @@ def test_counts_are_not_combined_again_before_the_exchange(table):
     assert plan.index("partial_sum") < plan.index("Exchange hashpartitioning")
     again = phrase_mining._merged(state, counts.where("n = 1"), 1, 2, 3, 2, 10)
     assert sorted((r.w2, r.c0, r.c1, r.reach) for r in again.collect()) == [(2, 11, 0, 1), (3, 1, 1, None)]
+
+
+def test_rare_phrases_go_once_all_shards_are_scanned(table):
+    counts = table("size int, w1 long, w2 long, w3 long, n long", (2, 1, 2, 0, 11), (2, 1, 3, 0, 1), (2, 1, 4, 0, 9))
+    state = phrase_mining._still_open(phrase_mining._merged(None, counts, 1, 2, 3, 1, 10), 2, 1)
+    assert state.count() == 3
+    more = table("size int, w1 long, w2 long, w3 long, n long", (2, 1, 4, 0, 1), (2, 1, 5, 0, 2), (2, 1, 3, 0, 3))
+    again = phrase_mining._still_open(phrase_mining._merged(state, more, 0, 2, 3, 2, 10), 2, 2)
+    assert sorted((r.w2, r.c0, r.c1, r.reach, r.born) for r in again.collect()) == [(2, 0, 11, 1, None), (4, 1, 9, 2, None), (5, 2, 0, None, 2)]
+    of_three = phrase_mining._merged(None, counts, 1, 3, 3, 1, 10)
+    assert phrase_mining._still_open(phrase_mining._merged(of_three, more, 2, 3, 3, 2, 10), 3, 2).count() == 4
