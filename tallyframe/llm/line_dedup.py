@@ -1,11 +1,12 @@
 """Near-duplicate lines across documents: a segment-partition edit join in DataFrame expressions only.
 
-A line is cut into one segment more than the edits allowed, so an unedited segment survives in any near copy.  Each line
-is indexed by its segments with its length; it probes, for its own and each slightly smaller length, the
-substrings at the few starts that an alignment allows.  Pairs that meet are filtered by counts of letters and by the
-pieces they have in common and verified with a banded bit-parallel edit distance.  Lines of many words may also differ in
-whole words, one in twenty: such lines share a run of words, and so the least hash of the shingles in a window
-of that run.  Linked lines are one class, of which the first occurrence stays.
+A line is cut into one segment more than the edits allowed, so an unedited segment survives in any near copy.  Lines of few words
+are cut by characters: each is indexed by its segments with its length and probes, for its own and each slightly smaller length,
+the substrings at the few starts that an alignment allows.  Lines of twenty words or more may also differ in whole words, one in
+twenty, and are cut by words, which covers edits of characters too.  Those of very many words share a run of words with any
+near copy, and so the least hash in a window of that run.  Pairs that meet are filtered by counts of letters and by the
+pieces they have in common and verified with a banded bit-parallel edit distance.  Linked lines are one class, of which the
+first occurrence stays.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ LEAST_CHARS = EDITS[0][0]
 #: Words of the shorter line to each word that may be added, removed or replaced, however long the lines are.
 WORDS_PER_EDIT = 20
 SHINGLE = 5
-# (words from which the class holds, shingles in a window): with one edit in twenty words, lines of so many share a run of
-# at least 10 and 16 words, that is of 6 and 12 shingles.
-WINDOWS = ((20, 6), (80, 12))
+BLANKS = " \t\r\x0b\x0c"
+# (words of the shorter line from which the class holds, edits, words of a segment): one segment more than edits, with a word between
+# two, fit into the line.  An edit of a character changes at most two neighbouring words and so, as an edit of a word, one segment.
+SEGMENTS = ((20, 2, 6), (30, 2, 9), (40, 2, 12), (60, 3, 14), (80, 4, 15), (100, 5, 15), (120, 6, 16), (140, 7, 16))
+# Words of the shorter line from which near copies share a run of at least 17 words, that is of 13 shingles, and the shingles in a window.
+LEAST_WINDOWED, WINDOW = 160, 13
 
 
 def allowed(length: Column) -> Column:
@@ -182,8 +186,16 @@ def _pieces_in_common(a: Column, b: Column, edits: int) -> Column:
     return found >= parts - edits
 
 
+def _spaced(line: Column) -> Column:
+    """The line with one blank between words."""
+    blanks = F.contains(line, F.lit("  "))
+    for blank in BLANKS[1:]:
+        blanks = blanks | F.contains(line, F.lit(blank))
+    return F.when(blanks, F.regexp_replace(line, r"\s+", " ")).otherwise(line)
+
+
 def _words(line: Column) -> Column:
-    return F.split(line, r"\s+")
+    return F.split(_spaced(line), " ")
 
 
 def word_edits(words: Column) -> Column:
@@ -191,14 +203,22 @@ def word_edits(words: Column) -> Column:
     return F.floor(words / WORDS_PER_EDIT).cast("int")
 
 
-def _word_parity(words: Column, half: int) -> Column:
-    """64 of 128 bits: whether the number of words with a hash is odd."""
+def _word_codes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(127).cast("int"))
 
-    def flip(acc: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-        return F.when(h.bitwiseAND(64) == 64 * half, acc.bitwiseXOR(bit)).otherwise(acc)
 
-    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), F.lit(0).cast("long"), flip)
+def _parity(codes: Column, half: int) -> Column:
+    """64 of 128 bits: whether the number of words with a code is odd."""
+
+    def flip(acc: Column, code: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), code)  # shifts count modulo 64
+        return F.when(code >= 64 if half else code < 64, acc.bitwiseXOR(bit)).otherwise(acc)
+
+    return F.aggregate(codes, F.lit(0).cast("long"), flip)
+
+
+def _word_parity(words: Column, half: int) -> Column:
+    return _parity(_word_codes(words), half)
 
 
 def _words_differ(odd: tuple[Column, Column], even: tuple[Column, Column]) -> Column:
@@ -206,15 +226,6 @@ def _words_differ(odd: tuple[Column, Column], even: tuple[Column, Column]) -> Co
     return F.bit_count(odd[0].bitwiseXOR(odd[1])) + F.bit_count(even[0].bitwiseXOR(even[1]))
 
 
-def _shingle_hashes(hashes: Column) -> Column:
-    """Hashes of the runs of ``SHINGLE`` (five) words, from the hashes of the words: runs of two make runs of four."""
-    joined = lambda x, y: F.xxhash64(x, y)
-    of_four = lambda twos: F.zip_with(twos, F.slice(twos, 3, F.size(twos)), joined)
-    two = F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), joined)
-    five = F.zip_with(_let(two, of_four), F.slice(hashes, SHINGLE, F.size(hashes)), joined)
-    return F.slice(five, 1, F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(0)))
-
-
 def _sliding_min(values: Column, window: int, done: int = 1) -> Column:
     """The least of each ``window`` neighbours.  Windows double until they are wide enough, so the work is linear in the length."""
     if done == window:
@@ -223,29 +234,47 @@ def _sliding_min(values: Column, window: int, done: int = 1) -> Column:
     return _let(values, lambda v: _sliding_min(F.zip_with(v, F.slice(v, step + 1, F.size(v)), lambda x, y: F.least(x, y)), window, done + step))
 
 
-def _window_keys(words: Column) -> Column:
-    """The least shingle hash of each window.  Lines at the border of two classes have the keys of both."""
-    count = F.size(words)
+def _segment_starts(edits: int, size: int) -> tuple[list[int], list[int]]:
+    """Starts, from 1 or below 0 from the end, of the segments of a line, and the other starts that a near copy may have them at.
+
+    The first segment with no more edits up to its end than segments before it is unedited and has just as many edits before it, so it
+    moves by as many words; by the end of the line it moves by the rest of the edits at most.
+    """
+    own, moved = [], []
+    for i in range(edits + 1):
+        back = edits - i
+        start, most = (i * (size + 1) + 1, i) if i <= back else (-(back * (size + 1) + size), back)
+        own.append(start)
+        moved += [start + shift for shift in range(-most, most + 1) if shift]
+    return own, moved
+
+
+def _segment_keys(words: Column, count: Column) -> tuple[Column, Column]:
+    """(index keys, other probe keys) of the segments of words.  Lines at the border of two classes have the keys of both."""
+    none, index, probe = F.array().cast("array<bigint>"), [], []
+    for k, (least, edits, size) in enumerate(SEGMENTS):
+        border = SEGMENTS[k + 1][0] if k + 1 < len(SEGMENTS) else LEAST_WINDOWED
+        inside = (count >= least) & (count < border + edits)  # a line over the border can have a partner below it
+        for keys, starts in zip((index, probe), _segment_starts(edits, size), strict=True):
+            # One by one: compiled, a slice copies its own words only; in a function of an array it would copy the whole line.
+            made = [F.xxhash64(F.slice(words, start, size), F.lit(least)) for start in starts]
+            keys.append(F.when(inside, F.array(*made)).otherwise(none))
+    return F.concat(*index), F.concat(*probe)
 
-    def of(hashes: Column) -> Column:
-        groups = []
-        for k, (least, window) in enumerate(WINDOWS):
-            inside = count >= least
-            if k + 1 < len(WINDOWS):
-                border = WINDOWS[k + 1][0]  # a line over the border can have a partner below it
-                inside = inside & (count < border + border // WORDS_PER_EDIT)
-            whole = F.greatest(F.size(hashes) - window + 1, F.lit(0))
-            mins = F.array_distinct(F.slice(_sliding_min(hashes, window), 1, whole))
-            mins = mins if k == 0 else F.transform(mins, F.bitwise_not)
-            groups.append(F.when(inside, mins).otherwise(F.array().cast("array<bigint>")))
-        return F.concat(*groups)
 
-    made = _let(_let(F.transform(words, lambda w: F.xxhash64(w)), _shingle_hashes), of)
-    return F.when(count >= WINDOWS[0][0], made).otherwise(F.array().cast("array<bigint>"))
+def _window_keys(words: Column) -> Column:
+    """Shingles of words: of each window, the one whose first word has the least hash."""
+    # A number has the upper bits of the hash and the place, so the least one of a window is the first word with the least of these bits.
+    number = lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(-1 << 30).cast("long")).bitwiseOR(i.cast("long"))
+    whole = F.greatest(F.size(words) - (SHINGLE + WINDOW - 2), F.lit(0))
+    least = lambda numbers: F.array_distinct(F.slice(_sliding_min(numbers, WINDOW), 1, whole))
+    place = lambda v: v.bitwiseAND((1 << 30) - 1).cast("int")
+    shingle = lambda v: F.xxhash64(*(F.get(words, place(v) + k) for k in range(SHINGLE)))
+    return F.array_distinct(F.transform(_let(F.transform(words, number), least), shingle))
 
 
-def _words_within(a: Column, b: Column) -> Column:
-    """Whether two lists of words are within the word edits allowed: the edit distance of strings with one character for each word.
+def _words_within(a: Column, b: Column, most: Column | None = None) -> Column:
+    """Whether two lists of words are within ``most`` edits, those allowed if not given: the edit distance of strings with one character for each word.
 
     Words get their characters by hash, which can only lower the distance.  If it is low enough and two words of the pair
     have the same character, words are numbered by their place among all words of the pair, and the distance is taken anew.
@@ -254,7 +283,7 @@ def _words_within(a: Column, b: Column) -> Column:
     hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000
 
     def compare(x: Column) -> Column:
-        most = word_edits(F.least(F.size(x["a"]), F.size(x["b"])))
+        most = x["most"]
         within = lambda code: F.call_function("levenshtein", string(x["a"], code), string(x["b"], code), most) >= 0
 
         def exact(known: Column) -> Column:
@@ -264,7 +293,26 @@ def _words_within(a: Column, b: Column) -> Column:
         near = F.when(within(hashed), _let(F.array_distinct(F.concat(x["a"], x["b"])), exact)).otherwise(F.lit(False))
         return F.when((most > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= most), near).otherwise(F.lit(False))
 
-    return _let(F.struct(a.alias("a"), b.alias("b")), compare)
+    most = word_edits(F.least(F.size(a), F.size(b))) if most is None else most
+    return _let(F.struct(a.alias("a"), b.alias("b"), most.alias("most")), compare)
+
+
+def _without_start(x: Column) -> Column:
+    """The lists ``a`` and ``b`` without the words that both begin with, reversed."""
+    first = F.array_position(F.zip_with(x["a"], x["b"], lambda v, w: v.eqNullSafe(w)), False).cast("int")
+    rest = lambda words, at: F.reverse(F.slice(words, F.when(at > 0, at).otherwise(F.size(words) + 1), F.size(words)))
+    return _let(first, lambda at: F.struct(rest(x["a"], at).alias("a"), rest(x["b"], at).alias("b")))
+
+
+def _lines_within(a: Column, b: Column) -> Column:
+    """Whether two lines are within the word edits allowed.  Words at the start and the end that both have do not count and are left out."""
+    lists = F.struct(_words(a).alias("a"), _words(b).alias("b"))
+
+    def compare(x: Column) -> Column:
+        most = word_edits(F.least(F.size(x["a"]), F.size(x["b"])))
+        return _let(_let(_without_start(x), _without_start), lambda y: _words_within(y["a"], y["b"], most))
+
+    return _let(lists, compare)
 
 
 def _judged(line: Column) -> Column:
@@ -272,22 +320,38 @@ def _judged(line: Column) -> Column:
     return (F.length(line) >= LEAST_CHARS) | F.rlike(line, F.lit(r"\S\s+\S+\s+\S"))
 
 
+def _trimmed(line: Column) -> Column:
+    """The line without blanks at its ends.  Trimming walks through the whole line, so it is left to lines that need it."""
+    needs = F.lit(False)
+    for blank in BLANKS:
+        needs = needs | F.startswith(line, F.lit(blank)) | F.endswith(line, F.lit(blank))
+    return F.when(needs, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, k1, k2, pos, line, h1, h2) of all lines that are judged."""
+    """(id, k1, k2, pos, line, h1, h2) of all lines that are judged.
+
+    Hashes come out of a row generator: a filter on them is not moved below it, where it would hash the line for each use of a hash.
+    """
+    hashes = F.struct(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
     return (
         docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-        .select("id", "k1", "k2", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
+        .select("id", "k1", "k2", "pos", _trimmed(F.col("raw")).alias("line"))
         .where(_judged(F.col("line")))
-        .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+        .select("id", "k1", "k2", "pos", "line", F.inline(F.array(hashes)))
     )
 
 
 def _common_start(a: Column, b: Column, limit: Column) -> Column:
     """Length of the longest common start, at most ``limit``: steps of falling powers of two."""
     steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
-    powers = F.concat(F.array_repeat(F.lit(1 << 21), F.floor(limit / (1 << 21)).cast("int")), steps)
-    longer = lambda at, k: (at + k <= limit) & (F.substring(a, at + 1, k) == F.substring(b, at + 1, k))
-    return F.aggregate(powers, F.lit(0), lambda at, k: F.when(longer(at, k), at + k).otherwise(at))
+
+    def search(most: Column) -> Column:
+        powers = F.concat(F.array_repeat(F.lit(1 << 21), F.floor(most / (1 << 21)).cast("int")), steps)
+        longer = lambda at, k: (at + k <= most) & (F.substring(a, at + 1, k) == F.substring(b, at + 1, k))
+        return F.aggregate(powers, F.lit(0), lambda at, k: F.when(longer(at, k), at + k).otherwise(at))
+
+    return _let(limit, search)
 
 
 def _within(a: Column, b: Column, edits: int) -> Column:
@@ -313,22 +377,35 @@ def _within(a: Column, b: Column, edits: int) -> Column:
     return _let(_common_start(a, b, F.least(F.length(a), F.length(b))), with_end)
 
 
+def _keyed(lines: DataFrame) -> DataFrame:
+    """(key, h1, own) of all keys of the lines, written; ``own``: those of the index.  A line can have a key more than once."""
+    line, length, count = F.col("line"), F.col("chars"), F.col("count")
+    none = F.array().cast("array<bigint>")
+    few, many = count < SEGMENTS[0][0] + MOST, count >= LEAST_WINDOWED
+    by_words = _segment_keys(F.col("words"), count)
+    windows = F.when(many, _window_keys(F.col("words"))).otherwise(none)
+    index = F.concat(F.when(few, _index_keys(line, length)).otherwise(none), by_words[0], windows)
+    probe = F.concat(F.when(few, _probe_keys(line, length)).otherwise(none), by_words[1])
+    told = lines.select("h1", "line", "chars", _words(line).alias("words")).withColumn("count", F.size("words"))
+    told = told.select("h1", index.alias("index"), probe.alias("probe"))
+    every = F.posexplode(F.concat("index", "probe")).alias("pos", "key")
+    return settle(told.select("h1", F.size("index").alias("owned"), every).select("key", "h1", (F.col("pos") < F.col("owned")).alias("own")), "line-keyed")
+
+
 def _members(lines: DataFrame) -> DataFrame:
-    """(key, h1, own) of the keys that meet: two lines or more have them, and one as its index (``own``).
+    """(key, h1, own, size) of the keys that meet: two lines or more have them, and one as its index (``own``).
 
-    Index keys are among a line's probe keys.  Nearly all keys are those of one line, so they are counted first, combined
-    before the shuffle, and a filter keeps them out of the second one.
+    Nearly all keys are those of one line, so they are counted first, combined before the shuffle, and a filter keeps them out
+    of the second one.
     """
-    line, length = F.col("line"), F.col("chars")
-    chars = lines.select("h1", _index_keys(line, length).alias("index"), F.explode(F.array_distinct(_probe_keys(line, length))).alias("key"))
-    chars = chars.select("key", "h1", F.array_contains("index", F.col("key")).alias("own"))
-    words = lines.select(F.explode("windows").alias("key"), "h1", F.lit(True).alias("own"))
-    keyed = chars.unionByName(words)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("own").alias("met")).where("size > 1 and met").select("key", "size")
-    shared = settle(shared, "line-keys")
+    keyed = _keyed(lines)
+    met = (F.col("low") < F.col("high")) & F.col("met")
+    counted = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("met"))
+    shared = settle(counted.where(met).select("key", "size"), "line-keys")
     blocks = bloom.blocks_for(shared.count())
     likely = keyed.where(bloom.may_contain(bloom.bloom_words(shared, blocks), blocks, F.col("key")))
-    return settle(likely.join(shared, "key"), "line-members")
+    once = likely.groupBy("key", "h1").agg(F.max("own").alias("own"))
+    return settle(once.join(shared, "key"), "line-members")
 
 
 def _texts(lines: DataFrame, members: DataFrame) -> DataFrame:
@@ -336,8 +413,10 @@ def _texts(lines: DataFrame, members: DataFrame) -> DataFrame:
     nodes = settle(members.select(F.col("h1").alias("key")).distinct(), "paired-lines")
     blocks = bloom.blocks_for(nodes.count())
     likely = lines.where(bloom.may_contain(bloom.bloom_words(nodes, blocks), blocks, F.col("h1")))
-    told = likely.join(nodes, F.col("h1") == F.col("key"), "left_semi").drop("windows").withColumn("words", _words(F.col("line")))
-    facts = {"count": F.size("words"), "parity0": _word_parity(F.col("words"), 0), "parity1": _word_parity(F.col("words"), 1)}
+    told = likely.join(nodes, F.col("h1") == F.col("key"), "left_semi").dropDuplicates(["h1", "h2"])
+    told = told.withColumn("letters", _letter_counts(F.col("line"))).withColumn("words", _words(F.col("line")))
+    told = told.withColumn("count", F.size("words")).withColumn("words", _word_codes(F.col("words")))
+    facts = {f"parity{half}": _parity(F.col("words"), half) for half in (0, 1)}
     return settle(told.withColumns(facts).drop("words"), "pair-lines")
 
 
@@ -345,8 +424,8 @@ def _texts(lines: DataFrame, members: DataFrame) -> DataFrame:
 _FACTS = ("chars", "letters", "count", "parity0", "parity1")
 
 
-def _alike(a: str, b: str) -> Column:
-    """False only for lines that are not within the edits of characters or words; their facts have these suffixes."""
+def _alike(a: str, b: str) -> tuple[Column, Column]:
+    """Each false only for lines that are not within the edits of characters, or of words; their facts have these suffixes."""
     of = lambda name: (F.col(name + a), F.col(name + b))
     difference = lambda name: F.abs(F.col(name + a) - F.col(name + b))
     most = word_edits(F.least(*of("count")))
@@ -355,7 +434,12 @@ def _alike(a: str, b: str) -> Column:
     by_words = (most > 0) & (difference("count") <= most) & (differ + difference("count") <= 2 * most)
     # An edit of a character changes one word, or makes two of one or one of two.
     by_chars = (difference("chars") <= MOST) & (differ <= 3 * MOST) & (_letters_differ(*of("letters")) <= 2 * MOST)
-    return by_chars | by_words
+    return by_chars, by_words
+
+
+def _either(a: str, b: str) -> Column:
+    by_chars, by_words = _alike(a, b)
+    return by_words | by_chars
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -368,7 +452,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         limit = allowed(F.least("charsa", "charsb")) == edits
         near = (F.abs(F.col("charsa") - F.col("charsb")) <= edits) & _pieces_in_common(la, lb, edits)
         close = F.when(limit, near & _within(la, lb, edits)).otherwise(close)
-    close = F.when(close, True).otherwise(_words_within(_words(la), _words(lb)))
+    by_chars, by_words = _alike("a", "b")
+    close = F.when(by_words, _lines_within(la, lb)).otherwise(F.lit(False)) | F.when(by_chars, close).otherwise(F.lit(False))
     return settle(both.where(close).select("h1a", "h2a", "h1b", "h2b"), "line-links")
 
 
@@ -388,12 +473,16 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
     rounds any one, and of the pivots of each slot a line takes the one that it shares most keys with.
     """
     slot = F.pmod(F.xxhash64("h1", F.lit(turn)), F.lit(PIVOTS)).alias("slot")
-    rank = F.sum("size") if turn == 0 else F.xxhash64("h1", F.lit(-turn))
-    ranked = members.groupBy("h1").agg(rank.alias("rank"))
-    best = F.max(F.struct("rank", "h1", "label"))
-    pivots = members.where("own").join(ranked, "h1").groupBy("key", slot).agg(best["h1"].alias("pivot"), best["label"].alias("other"))
+    index = members.where("own")
+    if turn == 0:
+        ranked = index.join(members.groupBy("h1").agg(F.sum("size").alias("rank")), "h1")
+    else:
+        ranked = index.withColumn("rank", F.xxhash64("h1", F.lit(-turn)))
+    # Numbers only, which are combined without sorting.  Lines of equal rank may give pivot and label from two: then one pair is made in vain or missed here.
+    best = lambda column: F.max_by(column, "rank")
+    pivots = ranked.groupBy("key", slot).agg(best("h1").alias("pivot"), best("label").alias("other"))
     met = members.join(pivots, "key").where("label <> other").groupBy("h1", "slot", "pivot").count()
-    chosen = met.groupBy("h1", "slot").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("pivot"))
+    chosen = met.groupBy("h1", "slot").agg(F.max_by("pivot", "count").alias("pivot"))
     return settle(chosen.select(*_ordered("h1", "pivot")).distinct(), "line-star")
 
 
@@ -408,7 +497,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def _near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) that the facts of their lines do not tell apart; no text is moved."""
     side = lambda x: texts.select(F.col("h1").alias(x), *(F.col(c).alias(c + x) for c in _FACTS))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b")).select("a", "b").distinct()
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_either("a", "b")).select("a", "b").distinct()
     return settle(near, "line-near")
 
 
@@ -429,12 +518,12 @@ def _open_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     # Lines that have a key as their index are there on both sides and meet once.
     other = (F.col("labelx") != F.col("labely")) & (~F.col("own") | (F.col("h1x") < F.col("h1y")))
     first = F.coalesce(F.array_min(F.array_intersect("leastx", "leasty")) >= F.col("key"), F.lit(True))
-    met = probe.join(index, "key").where(other & _alike("x", "y") & first)
+    met = probe.join(index, "key").where(other & _either("x", "y") & first)
     return met.select(*_ordered("h1x", "h1y")).distinct()
 
 
 def line_pairs(lines: DataFrame) -> DataFrame:
-    """Links (h1a, h2a, h1b, h2b) that tie the distinct lines (h1, h2, line, chars, letters, windows) within the allowed edits of characters or words.
+    """Links (h1a, h2a, h1b, h2b) that tie the distinct lines (h1, h2, line, chars) within the allowed edits of characters or words.
 
     Each line is first compared with a few pivots of its keys, in some rounds, so that a group of near copies is tied with a few
     comparisons for each of its lines.  All pairs that share a key are compared only between the classes that this leaves.
@@ -452,46 +541,55 @@ def line_pairs(lines: DataFrame) -> DataFrame:
 
 
 def _distinct_texts(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, line, chars, letters, windows) of every distinct line once, written: it is read for the keys and the pairs.
+    """(h1, h2, line, chars) of every distinct line; it is cut anew for the keys and for the texts of the pairs.
 
-    A line that the filter of the repeated ones lets go is there once and is taken as it is; only the others are
-    gathered by their hashes, combined before the shuffle.
+    A line that the filter of the repeated ones lets go is there once and is taken as it is; all others are taken at one of their
+    places, which a filter of these places tells.  A place that this filter lets pass by chance only gives a line once more.
     """
     again = lines.where("n > 1").select(F.col("h1").alias("key"))
     blocks = bloom.blocks_for(again.count())
-    repeated = bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
-    gathered = found.where(repeated).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    once = found.where(~repeated).select("h1", "h2", "line").unionByName(gathered)
-    told = {"chars": F.length("line"), "letters": _letter_counts(F.col("line")), "windows": _let(_words(F.col("line")), _window_keys)}
-    return settle(once.withColumns(told), "distinct-lines")
+    repeated = lambda: bloom.may_contain(bloom.bloom_words(again, blocks), blocks, F.col("h1"))
+    places = lines.where(repeated()).select(F.xxhash64("h1", "place").alias("key"))
+    chosen = bloom.may_contain(bloom.bloom_words(places, blocks), blocks, F.xxhash64("h1", _place()))
+    return found.where(~repeated() | chosen).select("h1", "h2", "line", F.length("line").alias("chars"))
 
 
-def _classes(found: DataFrame) -> DataFrame:
-    """(h1, h2, stays): lines that are there more than once or have near copies, and the place of the one that stays."""
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2", "pos")
-    lines = settle(
-        found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()),
-        "lines",
-    )
+def _place() -> Column:
+    return F.xxhash64("k1", "k2", "pos")
+
+
+def _classes(found: DataFrame, places: DataFrame) -> DataFrame:
+    """(h1, h2, label) of the lines that are there more than once or have near copies; those of one class have one label."""
+    counted = places.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.count("*").alias("n"))
+    lines = settle(counted.withColumn("node", F.monotonically_increasing_id()), "lines")
     links = line_pairs(_distinct_texts(found.where(F.length("line") >= LEAST_CHARS), lines))
     node = lambda x: lines.select(F.col("h1").alias(f"h1{x}"), F.col("h2").alias(f"h2{x}"), F.col("node").alias(x))
     labels = components(links.join(node("a"), ["h1a", "h2a"]).join(node("b"), ["h1b", "h2b"]))
     named = lines.join(labels.withColumnRenamed("vertex", "node"), "node", "left")
-    firsts = named.where("label is not null").groupBy("label").agg(F.min("place").alias("first"))
-    return named.join(firsts, "label", "left").where("n > 1 or label is not null").select(
-        "h1", "h2", F.coalesce("first", "place").alias("stays")
-    )
+    return named.where("n > 1 or label is not null").select("h1", "h2", F.coalesce("label", "node").alias("label"))
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """(k1, k2, pos, stays) of the lines of all classes, and whether it is the first place of its class."""
+    places = settle(found.drop("line"), "line-places")
+    classes = settle(_classes(found, places), "classes")
+    blocks = bloom.blocks_for(classes.count())
+    words = bloom.bloom_words(classes.select(F.col("h1").alias("key")), blocks)
+    hits = settle(places.where(bloom.may_contain(words, blocks, F.col("h1"))).join(classes, ["h1", "h2"]), "line-hits")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "k1", "k2", "pos")
+    # A line that is there very often and a class of very many lines are combined before they meet in a task.
+    lines = hits.groupBy("h1", "h2", "label").agg(F.min(place).alias("place"))
+    firsts = lines.groupBy("label").agg(F.min("place").alias("first"))
+    stays = firsts.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"), F.lit(True).alias("first"))
+    told = hits.join(stays, ["k1", "k2", "pos"], "left")
+    return told.select("k1", "k2", "pos", F.col("first").isNotNull().alias("stays"))
 
 
 def find_duplicate_lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, dropped): positions (from 0) of the lines of each document to drop; docs: (id, k1, k2, text)."""
     found = _lines(docs)
-    classes = settle_only(docs.sparkSession, lambda: _classes(found), "line-classes")
-    return (
-        found.drop("line").join(classes, ["h1", "h2"])
-        .where(~((F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2")) & (F.col("pos") == F.col("stays.pos"))))
-        .groupBy("k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    )
+    classes = settle_only(docs.sparkSession, lambda: _places(found), "line-classes")
+    return classes.where("not stays").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
